@@ -24,13 +24,13 @@ WORDS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SHARE = 0.75
-STEPS = 5
+STEPS = 4
 MIN_GROUP = 100
 TAIL = 1e-7
 SMALL_SET = 48
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 #: Spread that every feature is granted: most are constant over clean text, where a covariance alone would be singular.
-FLOOR = (0.12, 0.35, 0.25, 0.12)
+FLOOR = (0.12, 0.35, 0.4, 0.2)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -107,33 +107,15 @@ def consistency(share: float, df: int) -> float:
     return share / _chi2(_chi2_quantile(share, df), df + 2)
 
 
-def distance(center: list[Column], cov: dict[tuple[int, int], Column], x: list[Column]) -> Column:
-    """Squared Mahalanobis distance by a Cholesky factor written out as expressions; chained through structs so that
-    each entry is computed once."""
-    p = len(x)
-
-    def solve(i: int, y: list[Column], lower: dict[tuple[int, int], Column]) -> Column:
-        if i == p:
-            return sum((v * v for v in y[1:]), y[0] * y[0])
-        row: dict[tuple[int, int], Column] = {}
-
-        def column(j: int, row: dict[tuple[int, int], Column]) -> Column:
-            rest = cov[i, j]
-            for k in range(j):
-                rest = rest - row[i, k] * (row[j, k] if j == i else lower[j, k])
-            if j == i:
-                return let(F.sqrt(F.greatest(rest, F.lit(1e-12))), lambda d: let(_residual(i, y, row, d), lambda v: solve(i + 1, [*y, v], lower | row | {(i, i): d})))
-            return let(rest / lower[j, j], lambda v: column(j + 1, row | {(i, j): v}))
-
-        return column(0, row)
-
-    def _residual(i: int, y: list[Column], row: dict[tuple[int, int], Column], d: Column) -> Column:
-        rest = x[i] - center[i]
-        for k in range(i):
-            rest = rest - row[i, k] * y[k]
-        return rest / d
-
-    return solve(0, [], {})
+def with_precision(moments: DataFrame, group: list[str], p: int) -> DataFrame:
+    """Covariances ``c0_0…`` replaced by the entries ``q0_0…`` of their inverse, by sweeping each pivot in turn."""
+    at = lambda i, j: F.col(f"c{max(i, j)}_{min(i, j)}")
+    entries = [(i, j) for i in range(p) for j in range(i + 1)]
+    keep = [*group, *(f"m{i}" for i in range(p))]
+    for k in range(p):
+        swept = {(i, j): -1 / at(k, k) if i == j == k else at(i, j) / at(k, k) if k in (i, j) else at(i, j) - at(i, k) * at(j, k) / at(k, k) for i, j in entries}
+        moments = moments.select(*keep, *(v.alias(f"c{i}_{j}") for (i, j), v in swept.items()))
+    return moments.select(*keep, *((-at(i, j)).alias(f"q{i}_{j}") for i, j in entries))
 
 
 def _moments(x: list[str]) -> list[Column]:
@@ -142,7 +124,7 @@ def _moments(x: list[str]) -> list[Column]:
 
 
 def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row per group: means ``m0…`` and covariances ``c0_0…`` (scaled to be consistent, floors added)."""
+    """One row per group: means ``m0…`` and inverse covariances ``q0_0…`` (scaled to be consistent, floors added)."""
     p, names = len(x), list(x)
     same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
     on = same[0]
@@ -152,7 +134,7 @@ def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEA
     joined = rows.alias("a").join(med.alias("b"), on).select("a.*", *(F.col(f"b.m{i}") for i in range(p)))
     mad = joined.groupBy(*group).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *(F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, n in enumerate(names)))
     spread = {f"c{i}_{j}": (F.pow(1.4826 * F.col(f"s{i}"), 2) + floor[i] ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)}
-    now = stage(mad.select(*group, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in spread.items())), "mcd-start")
+    now = stage(with_precision(mad.select(*group, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in spread.items())), group, p), "mcd-start")
     for _ in range(steps):
         near = with_distance(rows, now, group, x)
         cut = near.groupBy(*group).agg(F.percentile_approx("d2", share, 1000).alias("cut"))
@@ -160,7 +142,7 @@ def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEA
         got = kept.groupBy(*group).agg(*_moments(names))
         scale = consistency(share, p)
         cov = {f"c{i}_{j}": F.col(f"c{i}_{j}") * scale + (floor[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-        now = stage(got.select(*group, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in cov.items())), "mcd-step")
+        now = stage(with_precision(got.select(*group, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in cov.items())), group, p), "mcd-step")
     return now
 
 
@@ -170,9 +152,12 @@ def with_distance(rows: DataFrame, estimates: DataFrame, group: list[str], x: tu
     on = F.col(f"a.{group[0]}").eqNullSafe(F.col(f"b.{group[0]}"))
     for g in group[1:]:
         on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    cov = {(i, j): F.col(f"b.c{i}_{j}") for i in range(p) for j in range(i + 1)}
-    d2 = distance([F.col(f"b.m{i}") for i in range(p)], cov, [F.col(f"a.{n}") for n in x])
-    return rows.alias("a").join(estimates.alias("b"), on, "left").select("a.*", F.when(F.col("b.m0").isNotNull(), d2).alias("d2"))
+    off = [F.col(f"a.{n}") - F.col(f"b.m{i}") for i, n in enumerate(x)]
+    d2 = F.lit(0.0)
+    for i in range(p):
+        for j in range(i + 1):
+            d2 = d2 + off[i] * off[j] * F.col(f"b.q{i}_{j}") * (1 if i == j else 2)
+    return rows.alias("a").join(estimates.alias("b"), on, "left").select("a.*", d2.alias("d2"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
