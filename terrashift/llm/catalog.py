@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctw import op2_ctw
 from .html import op10_html
+from .minhash import op9_minhash
 from .packing import op7_packing
 from .quality import op8_quality
 from .tiff import op1_tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff, op7_packing, op8_quality, op10_html)}
+    return {f.__name__: f for f in (op1_tiff, op2_ctw, op7_packing, op8_quality, op9_minhash, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
