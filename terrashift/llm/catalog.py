@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import op2_ctw
 from .html import op10_html
+from .lines import op3_lines
 from .minhash import op9_minhash
 from .packing import op7_packing
 from .quality import op8_quality
+from .spans import op6_spans
 from .tiff import op1_tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff, op2_ctw, op7_packing, op8_quality, op9_minhash, op10_html)}
+    return {f.__name__: f for f in (op1_tiff, op2_ctw, op3_lines, op6_spans, op7_packing, op8_quality, op9_minhash, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:

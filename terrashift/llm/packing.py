@@ -135,3 +135,9 @@ def op7_packing(spark, sf_dir) -> DataFrame:
     """The whole corpus packed into windows of 2048 ids."""
     small_batches(spark)
     return digest(pack(documents(spark, sf_dir)))
+
+
+def stage_packing(spark, docs: DataFrame, sf_dir) -> DataFrame:
+    """Pieces of the packed corpus, as digests."""
+    small_batches(spark)
+    return digest(pack(docs))
