@@ -11,13 +11,15 @@ from .html import op10_html
 from .lines import op3_lines
 from .minhash import op9_minhash
 from .packing import op7_packing
+from .pieces import op5_pieces
 from .quality import op8_quality
 from .spans import op6_spans
 from .tiff import op1_tiff
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff, op2_ctw, op3_lines, op6_spans, op7_packing, op8_quality, op9_minhash, op10_html)}
+    return {f.__name__: f for f in (op1_tiff, op2_ctw, op3_lines, op4_toxicity, op5_pieces, op6_spans, op7_packing, op8_quality, op9_minhash, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
