@@ -10,6 +10,7 @@ from .ctw import op2_ctw
 from .html import op10_html
 from .lines import op3_lines
 from .minhash import op9_minhash
+from .oracles import ORACLES
 from .packing import op7_packing
 from .pieces import op5_pieces
 from .quality import op8_quality
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
