@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,18 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 PLAIN = regex.compile(r"[!-~\xa1-\xff]+")
 
 
+
+
+def _byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for their bytes, the others follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(rest)) for b in range(256)}
+
+
+BYTES = _byte_characters()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -41,37 +54,41 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """Words to their ids as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Each
-    distinct word is encoded once a task; what is remembered is bounded.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn, and a
+    word's are those of its parts under the splitting rule. Each distinct part is merged once a worker as long as it is
+    remembered; what is remembered is bounded, and the older half goes first.
     """
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """Ids of one part, which needs no more than the merges."""
+        ids = self.older.get(part)
+        if ids is None:
+            seen = part if part.isascii() else "".join(map(BYTES.__getitem__, part.encode()))
+            ids = array("I", [t.id for t in self.merge(seen)]).tobytes()
+        if len(self.parts) >= 2 * self.LIMIT:
+            self.older, self.parts = self.parts, {}
+        self.parts[part] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if len(self.parts) >= self.LIMIT:
-            self.parts.clear()
         if "<|" in word or not PLAIN.fullmatch(word):
-            ids = self.encode(word)
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         else:
-            found = []
-            for part in PRETOKEN.findall(unicodedata.normalize("NFC", word).lower()):
-                one = self.parts.get(part)
-                if one is None:
-                    one = self.parts[part] = self.encode(part)
-                found.append(one)
-            ids = b"".join(found)
+            known = self.parts
+            ids = b"".join([known.get(p) or self.part(p) for p in PRETOKEN.findall(unicodedata.normalize("NFC", word).lower())])
+        if len(self) >= self.LIMIT:
+            self.clear()
         self[word] = ids
         return ids
 
