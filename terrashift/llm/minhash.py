@@ -6,10 +6,11 @@ signature: with m of n values equal, the similarity's posterior under a uniform
 the pair is dropped as soon as the posterior gives at most ``MISS`` to a similarity of the threshold or more. Survivors
 are verified on the full shingle sets. Links between classes become components.
 
-Large groups. In a bucket of a band only the pairs (first member, other member) are compared at first: as many rows as
-members. Verified links are contracted to components. Only members of a bucket that lie in different components are
-then compared all with all, block against block within tasks, and only pairs that survive the pruning become rows.
-Copies and near copies so cost their number, not its square, and no link that matters to a component is lost.
+Large groups. At first each class meets one class: of the leads of its buckets the one that it shares most buckets
+with. Verified links are contracted to components, and this is done again with other leads for what is still apart, a
+few times. Only members of a bucket that lie in different components after that are compared all with all, block
+against block within tasks, and only pairs that survive the pruning become rows. Copies and near copies so cost their
+number, not its square, and no link that matters to a component is lost.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are kept; repeated rows are
 a document each time and all get the component of their text; a null doc_id never becomes a component's id unless
@@ -37,10 +38,11 @@ BATCH = 24
 MISS = 1e-6
 BLOCK = 256
 FILTER_BITS = 1 << 24
+ROUNDS = 4
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _seeds = np.random.default_rng(9)
-_A = _seeds.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = _seeds.integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = _seeds.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_B = _seeds.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -58,11 +60,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
+    """Least values of HASHES linear permutations of 32 bits of the shingles' hashes."""
     out = np.full(HASHES, np.uint32(0xFFFFFFFF))
-    x = shingles ^ (shingles >> np.uint64(31))
-    for i in range(0, len(x), 2048):
-        part = x[i : i + 2048, None] * _A + _B
-        out = np.minimum(out, (part >> np.uint64(32)).astype(np.uint32).min(0))
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 1024):
+        part = np.multiply.outer(x[i : i + 1024], _A)
+        part += _B
+        np.minimum(out, part.min(0), out=out)
     return out
 
 
@@ -145,16 +149,14 @@ def prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of the full shingle sets. The sets come from the texts again,
-    only of classes in a pair; each is sent to its pairs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stage(classes.join(ends, "node").select("node", "first_id", "first_key"), "minhash-wanted")
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, set: the full shingle sets of ``nodes``, from the texts again."""
+    wanted = stage(classes.join(nodes, "node").select("node", "first_id", "first_key"), "minhash-wanted")
     # A bitmap of fixed size spares the texts of other rows the shuffle; the join that follows decides.
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     at = wanted.select(F.pmod("first_key", F.lit(FILTER_BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
     np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    shared = pairs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, bits = Vocabulary(), shared.value
@@ -170,7 +172,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(sets, f"doc_id {kind}, key long, set binary")
     same = (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    found = stage(read.join(wanted, same).dropDuplicates(["node"]).select("node", "set"), "minhash-sets")
+    return stage(read.join(wanted, same).dropDuplicates(["node"]).select("node", "set"), "minhash-sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of the full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,11 +189,25 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
-    left = found.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = found.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def lead_pairs(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """a < b: each class that is still apart from the lead of a bucket, with the lead that it shares most buckets with.
+    Leads change with ``turn``: the least class first, then the least of a hash."""
+    member = buckets if labels is None else buckets.join(labels, "node")
+    by = F.col("node") if labels is None else F.xxhash64("node", F.lit(turn))
+    lead = member.groupBy("bucket").agg(F.min(F.struct(by.alias("h"), *([] if labels is None else [F.col("root").alias("r")]), F.col("node").alias("n"))).alias("lead"))
+    apart = member.join(lead, "bucket").filter(F.col("node") != F.col("lead.n"))
+    if labels is not None:
+        apart = apart.filter(F.col("root") != F.col("lead.r"))
+    shared = apart.groupBy("node", F.col("lead.n").alias("lead")).agg(F.count("*").alias("c"))
+    best = shared.groupBy("node").agg(F.max_by("lead", F.struct("c", F.xxhash64("lead", F.lit(turn)))).alias("lead"))
+    return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root: the smallest node reachable over ``links``. Labels spread to neighbours, then jump to their own
     label's label, so long chains take a logarithmic number of rounds."""
@@ -242,19 +262,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     grouped = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), "n_shingles", "sig"), "minhash-classes")
     banded = bands(classes)
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("bucket", "lead")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     buckets = stage(banded.join(shared, "bucket"), "minhash-buckets")
-    # At first each class meets one of the leads that it shares a bucket with.
-    star = buckets.filter("node <> lead").groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
-    tried = stage(prune(star, classes, threshold), "minhash-star")
-    links = stage(verify(tried, classes, rows, k, percent), "minhash-links")
-    labels = stage(components(classes, links), "minhash-labels")
+    sets_of = full_sets(buckets.select("node").distinct(), classes, rows, k)
+    pairs, labels, tried, links = buckets.select("bucket", "node"), None, None, None
+    for turn in range(ROUNDS):
+        new = lead_pairs(pairs, labels, turn)
+        new = stage(prune(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), classes, threshold), "minhash-tried")
+        if new.isEmpty():
+            break
+        tried = new if tried is None else tried.unionByName(new)
+        found = stage(verify(new, sets_of, percent), "minhash-links")
+        links = found if links is None else links.unionByName(found)
+        labels = stage(components(classes, links), "minhash-labels")
+    if labels is None:
+        labels = classes.select("node", F.col("node").alias("root"))
     # Then whatever shares a bucket across components.
-    rest = stage(rest_pairs(buckets.select("bucket", "node"), labels, classes, threshold).join(tried, ["a", "b"], "left_anti"), "minhash-rest")
+    rest = rest_pairs(pairs, labels, classes, threshold)
+    rest = stage(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "minhash-rest")
     if not rest.isEmpty():
-        more = stage(verify(rest, classes, rows, k, percent), "minhash-links")
+        more = stage(verify(rest, sets_of, percent), "minhash-links")
         if not more.isEmpty():
-            labels = stage(components(classes, links.unionByName(more)), "minhash-labels")
+            labels = stage(components(classes, more if links is None else links.unionByName(more)), "minhash-labels")
     member = classes.select("node", "h1", "h2", "first_id").join(labels, "node")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component"))
     member = member.join(smallest, "root").select("h1", "h2", "component")
