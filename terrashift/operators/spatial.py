@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def zonal_join(pixels: DataFrame, polygons: DataFrame, ring: str, cell: float) -
 
 def simplify(ring_rows: DataFrame, ring: str, tolerance: float, out: str) -> DataFrame:
     """``out``: the ring by Douglas and Peucker. A recursive cut, so a vectorised Python function; one ring at a time."""
-    import pandas as pd
-
     kind = ring_rows.schema[ring].dataType
 
     @F.pandas_udf(kind)
