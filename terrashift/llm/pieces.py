@@ -29,6 +29,8 @@ from .common import documents, small_batches
 
 MARK = "▁"
 PENALTY = 10.0
+#: Paths that a task keeps from one batch to the next.
+REMEMBERED = 250_000
 
 
 def default_model() -> str:
@@ -48,6 +50,7 @@ class Pieces:
         self.special = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = {i: p.encode() for i, p in enumerate(self.pieces) if i not in self.special} | {i: bytes((b,)) for i, b in self.byte_of.items()}
         self._fill({p: (sp.get_score(i), i) for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of})
 
     def _fill(self, scored: dict[str, tuple[float, int]]) -> None:
@@ -79,16 +82,13 @@ class Pieces:
                 k += 1
             del best[k + 1 :], start[k + 1 :], piece[k + 1 :]
             for j in range(k + 1, n + 1):
-                found, at, which = best[j - 1] + unknown, j - 1, -1
-                known = False
+                # A character may stand as its bytes only if it is no piece itself.
+                found, at, which = (best[j - 1] + unknown if w[j - 1] not in scored else float("-inf")), j - 1, -1
                 for size in lengths.get(w[j - 1], ()):
                     if size <= j:
                         hit = scored.get(w[j - size : j])
-                        if hit is not None:
-                            score = best[j - size] + hit[0]
-                            if not known and size > 1 or score > found or size == 1:
-                                if not known or score > found:
-                                    found, at, which, known = score, j - size, hit[1], True
+                        if hit is not None and (score := best[j - size] + hit[0]) > found:
+                            found, at, which = score, j - size, hit[1]
                 best.append(found)
                 start.append(at)
                 piece.append(which)
@@ -104,13 +104,8 @@ class Pieces:
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                out.append(bytes((self.byte_of[i],)))
-            elif 0 <= i < len(self.pieces) and i not in self.special:
-                out.append(self.pieces[i].encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        raw = self.raw.get
+        text = b"".join([raw(i, b"") for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -130,9 +125,13 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
+        paths: dict[str, np.ndarray] = {}
         for b in batches:
             split = [pieces.words(t or "") for t in b.column(text).to_pylist()]
-            paths = {w: np.array(i, np.int32) for w, i in pieces.best_paths({w for words in split for w in words}).items()}
+            if len(paths) > REMEMBERED:
+                paths.clear()
+            new = {w for words in split for w in words if w not in paths}
+            paths.update((w, np.array(i, np.int32)) for w, i in pieces.best_paths(new).items())
             none = np.empty(0, np.int32)
             rows = [np.concatenate([paths[w] for w in words]) if words else none for words in split]
             ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
@@ -160,7 +159,7 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids", out: str =
 
 def op5_pieces(spark, sf_dir) -> DataFrame:
     """Every text encoded and decoded again; digests of both."""
-    small_batches(spark)
+    small_batches(spark, 4000)
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = decode(encode(docs))
 
