@@ -18,16 +18,16 @@ _STG = (
 )
 
 
-def stg_sar(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(0 - F.col("l_tax") * 100).alias("vv_change_db_mean"), F.count("*").alias("vv_pixel_count"))
+def stg_sar(t: Tables, keep: str = "l_partkey % 3 <> 0") -> DataFrame:
+    return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(0 - F.col("l_tax") * 100).alias("vv_change_db_mean"), F.count("*").alias("vv_pixel_count"))
 
 
-def stg_landsat(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_partkey % 5 <> 0").groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(F.col("l_discount") * 8).alias("dnbr_mean"), F.avg(F.col("l_quantity") / 50).alias("ndvi_mean"))
+def stg_landsat(t: Tables, keep: str = "l_partkey % 5 <> 0") -> DataFrame:
+    return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(F.col("l_discount") * 8).alias("dnbr_mean"), F.avg(F.col("l_quantity") / 50).alias("ndvi_mean"))
 
 
-def stg_lidar(t: Tables) -> DataFrame:
-    return t.part.filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("parcel_idx"), F.col("p_size").alias("chm_max"))
+def stg_lidar(t: Tables, keep: str = "p_partkey % 7 <> 0") -> DataFrame:
+    return t.part.filter(keep).select(F.col("p_partkey").alias("parcel_idx"), F.col("p_size").alias("chm_max"))
 
 
 def stg_parcels(t: Tables) -> DataFrame:
@@ -50,7 +50,17 @@ def int_ndvi(landsat: DataFrame, dates: list[str]) -> DataFrame:
 
 @query(f"WITH {_STG} SELECT parcel_idx, round(max(CASE WHEN observation_date = '1996' THEN ndvi END), 6) AS ndvi_1996, round(max(CASE WHEN observation_date = '1998' THEN ndvi END), 6) AS ndvi_1998 FROM landsat GROUP BY 1")
 def mart_ndvi_series(t: Tables) -> DataFrame:
-    wide = int_ndvi(stg_landsat(t), ["1996", "1998"])
+    return _ndvi_series(stg_landsat(t))
+
+
+@query()
+def mart_ndvi_series_whole(t: Tables) -> DataFrame:
+    """``mart_ndvi_series`` over every key."""
+    return _ndvi_series(stg_landsat(t, "true"))
+
+
+def _ndvi_series(landsat: DataFrame) -> DataFrame:
+    wide = int_ndvi(landsat, ["1996", "1998"])
     return wide.select("parcel_idx", F.round("ndvi_1996", 6).alias("ndvi_1996"), F.round("ndvi_1998", 6).alias("ndvi_1998"))
 
 
@@ -62,10 +72,19 @@ def mart_ndvi_series(t: Tables) -> DataFrame:
 def jn04_star_mart(t: Tables) -> DataFrame:
     """Parcels with four left joins; the optical edge takes its date from the radar row, so a parcel without radar has
     no optical values either. A parcel without radar still has a confidence, of null pixels: low."""
-    sar, landsat = stg_sar(t), stg_landsat(t)
+    return _star_mart(t, stg_sar(t), stg_landsat(t), stg_lidar(t))
+
+
+@query()
+def jn04_star_mart_whole(t: Tables) -> DataFrame:
+    """``jn04_star_mart`` over every key: a miss is a parcel without observations, not a key left out."""
+    return _star_mart(t, stg_sar(t, "true"), stg_landsat(t, "true"), stg_lidar(t, "true"))
+
+
+def _star_mart(t: Tables, sar: DataFrame, landsat: DataFrame, lidar: DataFrame) -> DataFrame:
     s = sar.select("parcel_idx", "observation_date", "vv_change_db_mean", "vv_pixel_count")
     joined = (
-        stg_parcels(t).join(s, "parcel_idx", "left").join(int_dnbr(landsat).select("parcel_idx", "observation_date", "dnbr_mean", "burn_severity"), ["parcel_idx", "observation_date"], "left").join(int_ndvi(landsat, ["1996"]), "parcel_idx", "left").join(stg_lidar(t), "parcel_idx", "left")
+        stg_parcels(t).join(s, "parcel_idx", "left").join(int_dnbr(landsat).select("parcel_idx", "observation_date", "dnbr_mean", "burn_severity"), ["parcel_idx", "observation_date"], "left").join(int_ndvi(landsat, ["1996"]), "parcel_idx", "left").join(lidar, "parcel_idx", "left")
     )
     return int_sar_change(joined).select("parcel_idx", "p_brand", "observation_date", F.round("vv_change_db_mean", 6).alias("vv_change_db"), "sar_change_class", "sar_confidence", F.round("dnbr_mean", 6).alias("dnbr"), "burn_severity", F.round("ndvi_1996", 6).alias("ndvi_1996"), "chm_max")
 

@@ -51,17 +51,24 @@ def st04_bootstrap(t: Tables) -> DataFrame:
     return _hashed_ci(_post(t).filter("user_id < 40")).select("user_id", F.round("ci_lower", 3).alias("ci_lower"), F.round("ci_upper", 3).alias("ci_upper"))
 
 
-def _hash_table(t_rows: DataFrame) -> DataFrame:
+@query()
+def st04_bootstrap_whole(t: Tables) -> DataFrame:
+    """The limits of ``st04_bootstrap`` for every user and at the operator's own number of draws: too slow for SQL."""
+    ci = _hashed_ci(_post(t), R.BOOTSTRAPS)
+    return ci.select("user_id", F.round("ci_lower", 3).alias("ci_lower"), F.round("ci_upper", 3).alias("ci_upper"))
+
+
+def _hash_table(t_rows: DataFrame, draws: int = DRAWS) -> DataFrame:
     """n, draw, i, times for series of up to 30 points: the multiplicities that the SQL draws."""
     i, b = F.col("i").cast("string"), F.col("draw").cast("string")
     times = (F.conv(F.substring(F.md5(F.concat(b, F.lit("-"), i).cast("binary")), 1, 4), 16, 10).cast("int") % 3).alias("times")
     base = t_rows.sparkSession.range(1, 31).select(F.col("id").cast("int").alias("n"))
-    drawn = base.select("n", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    drawn = base.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     return drawn.select("n", "draw", "i", times).filter("times > 0")
 
 
-def _hashed_ci(rows: DataFrame) -> DataFrame:
-    return R.bootstrap_ci(rows, "user_id", "t", "y", _hash_table(rows))
+def _hashed_ci(rows: DataFrame, draws: int = DRAWS) -> DataFrame:
+    return R.bootstrap_ci(rows, "user_id", "t", "y", _hash_table(rows, draws))
 
 
 @query()

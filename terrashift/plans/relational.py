@@ -63,6 +63,12 @@ def jn01_left(t: Tables) -> DataFrame:
     return t.orders.join(t.customer.filter("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
 
 
+@query()
+def jn01_left_whole(t: Tables) -> DataFrame:
+    """Over every customer: a miss is an order without a customer."""
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+
+
 @query("SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def jn02_inner(t: Tables) -> DataFrame:
     return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")

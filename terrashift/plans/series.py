@@ -138,6 +138,12 @@ def win15_regression(t: Tables) -> DataFrame:
     return S.regression_flag(daily(t).filter("d % 6 = 0"), "x", "user_id", "d")
 
 
+@query()
+def win15_regression_whole(t: Tables) -> DataFrame:
+    """Over every day of the series."""
+    return S.regression_flag(daily(t), "x", "user_id", "d")
+
+
 @query(f"WITH {SERIES} SELECT user_id, round(x, 6) AS latest FROM s WHERE d = 29")
 def win16_latest(t: Tables) -> DataFrame:
     """The last of the series, null if that is missing."""
