@@ -1,9 +1,10 @@
 """Substring dedup: sliding spans of consecutive sentences.
 
-A sentence ends after ``. ! ?`` before white space, or at a line break. From each sentence the shortest run of at least
-``SENTENCES`` sentences with at least ``WORDS`` words is hashed (128 bits of its words, so spacing doesn't matter). A hash
-found at two places or more is a repeated span; its first place, in order of (doc_id, row, sentence), stays, and the
-sentences that any other place covers are removed.
+A sentence ends after ``. ! ?`` before white space, or at a line break. The shortest run of at least ``SENTENCES``
+sentences with at least ``WORDS`` words is hashed (128 bits of its words, so spacing doesn't matter) from each sentence on
+and, so that a shared passage is covered to its last sentence, up to each sentence; a sentence of ``LONE`` words or more is
+a run by itself. A hash found at two places or more is a repeated span; its first place, in order of (doc_id, row,
+sentence), stays, and the sentences that any other place covers are removed.
 
 Defined results: null texts stay null and empty ones empty; a text without repeats stays as it is to the byte; repeated
 rows share their places, so each is first where the other is; a null doc_id sorts last.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import documents, row_key, small_batches, stage, words_of
 
 SENTENCES, WORDS = 2, 12
+#: A passage's length: so long a sentence is a span without others.
+LONE = 50
 END = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
 
 
@@ -41,34 +44,56 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str | None, least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, int]]:
-    """First sentence, number of sentences and 128-bit hash of the shortest long enough run from each sentence."""
-    bounds = sentences(text)
-    parts = [words_of(text[a:b]) for a, b in bounds]
-    sizes = [len(p) for p in parts]
-    digests = [xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts]
-    out, end, have, n = [], 0, 0, len(parts)
+def _parts(text: str | None) -> tuple[list[int], list[bytes]]:
+    """Number of words and digest of each sentence."""
+    parts = [words_of(text[a:b]) for a, b in sentences(text)]
+    return [len(p) for p in parts], [xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts]
+
+
+def _shortest(sizes: list[int], least: int, words: int) -> list[tuple[int, int]]:
+    """First sentence and number of sentences of the shortest long enough run from each sentence."""
+    out, end, have, n = [], 0, 0, len(sizes)
     for i in range(n):
         while end < n and (end - i < least or have < words):
             have += sizes[end]
             end += 1
         if end - i < least or have < words:
             break
-        out.append((i, end - i, xxhash.xxh3_128_intdigest(b"".join(digests[i:end]))))
+        out.append((i, end - i))
         have -= sizes[i]
     return out
 
 
-def span_rows(docs: DataFrame) -> DataFrame:
+def spans(text: str | None, least: int = SENTENCES, words: int = WORDS, lone: int | None = None) -> list[tuple[int, int, int]]:
+    """First sentence, number of sentences and 128-bit hash of the shortest long enough run from each sentence. With
+    ``lone`` also of the shortest one up to each sentence, and of each sentence of so many words; a run counts once."""
+    return [(i, k, int.from_bytes(h, "big")) for i, k, h in _hashed(text, least, words, lone)]
+
+
+def _hashed(text: str | None, least: int, words: int, lone: int | None) -> list[tuple[int, int, bytes]]:
+    sizes, digests = _parts(text)
+    runs = _shortest(sizes, least, words)
+    if lone is not None:
+        n = len(sizes)
+        runs = sorted({*runs, *((n - i - k, k) for i, k in _shortest(sizes[::-1], least, words)), *((i, 1) for i in range(n) if sizes[i] >= lone)})
+    return [(i, k, xxhash.xxh3_128_digest(b"".join(digests[i : i + k]))) for i, k in runs]
+
+
+def span_rows(docs: DataFrame, lone: int | None = None) -> DataFrame:
     """doc_id, key, place, n, h1, h2: a row for each span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans(t) for t in b.column("text").to_pylist()]
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = [x for f in found for x in f]
-            columns = [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())]
-            columns += [pa.array([(x[2] >> 64) - (1 << 63) for x in flat], pa.int64()), pa.array([(x[2] & (1 << 64) - 1) - (1 << 63) for x in flat], pa.int64())]
+            sizes, flat = [], []
+            for t in b.column("text").to_pylist():
+                found = _hashed(t, SENTENCES, WORDS, lone)
+                sizes.append(len(found))
+                flat += found
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            # The halves of a hash, less 2^63 each: they fit a signed column.
+            halves = (np.frombuffer(b"".join(x[2] for x in flat), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64).reshape(-1, 2)
+            columns = [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            del flat
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("key").take(pa.array(row)), *columns], ["doc_id", "key", "place", "n", "h1", "h2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -79,9 +104,10 @@ def _at() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p"))
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, key, sentences: positions that a repeated span's later place covers, for texts that have any."""
-    rows = span_rows(docs)
+def covered(docs: DataFrame, lone: int | None = None) -> DataFrame:
+    """doc_id, key, sentences: positions that a repeated span's later place covers, for texts that have any. ``lone``:
+    as for ``spans``."""
+    rows = span_rows(docs, lone)
     # Sums by task come before the shuffle, so a passage in every document is a row a task.
     seen = rows.groupBy("h1", "h2").agg(F.min(_at()).alias("first"), F.max(_at()).alias("last"))
     repeated = stage(seen.filter(F.col("first") != F.col("last")).select("h1", "h2", "first"), "spans-repeated")
@@ -99,7 +125,7 @@ def remove_sentences(text: str | None, gone: list[int] | None) -> str | None:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated spans taken out of ``text``, and ``__sentences`` with the positions taken out."""
-    gone = stage(covered(docs), "spans-covered")
+    gone = stage(covered(docs, LONE), "spans-covered")
     keyed = docs.withColumn("__key", row_key())
     joined = keyed.join(gone.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"), F.col("sentences").alias("__sentences")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")), "left")
 
