@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import op2_ctw
 from .html import op10_html
-from .lines import op3_lines
+from .lines import op3_lines, op3_links, op3_members
 from .minhash import op9_minhash
 from .oracles import ORACLES
 from .packing import op7_packing
@@ -20,7 +20,7 @@ from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff, op2_ctw, op3_lines, op4_toxicity, op5_pieces, op6_spans, op7_packing, op8_quality, op9_minhash, op10_html)}
+    return {f.__name__: f for f in (op1_tiff, op2_ctw, op3_lines, op3_links, op3_members, op4_toxicity, op5_pieces, op6_spans, op7_packing, op8_quality, op9_minhash, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -225,15 +225,30 @@ def matched_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return settled.unionByName(answered).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_lines (with a word), n_links (lines alike to an earlier, different set), removed (line numbers):
-    a row for each text."""
-    docs = docs.select("doc_id", "text")
+def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``line_sets``, and a row for each class: its first line, in order of (doc_id, row, line)."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
     rest = ("n", "sig", "buckets", "prefix")
     sets = stage(line_sets(docs, rarity(docs)), "lines-rows")
     grouped = sets.filter("line >= 0").drop("words").groupBy("h1", "h2").agg(F.min(first).alias("at"), *(F.first(c).alias(c) for c in rest))
-    classes = stage(grouped.select("h1", "h2", "at.doc_id", "at.key", "at.line", *rest), "lines-classes")
+    return sets, stage(grouped.select("h1", "h2", "at.doc_id", "at.key", "at.line", *rest), "lines-classes")
+
+
+def class_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: every pair of different classes (by h1) that are alike, once each, whether settled for removal or not. By the
+    prefix join alone, so it costs what its pairs cost: a family of k like classes has k * (k - 1) / 2 of them."""
+    rows = classes.filter("n >= 4").select(F.posexplode("prefix").alias("place", "token"), "h1", "n", "sig")
+    overlap = f"ceil({PERCENT} * (a.n + b.n) / {100 + PERCENT}.0D - 1e-9)"
+    near = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and a.h1 < b.h1 and least(a.n - a.place, b.n - b.place) >= {overlap} and {_possible('a', 'b')}"))
+    return verify(stage(near.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct(), "lines-all-pairs"), sets)
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_lines (with a word), n_links (lines whose set is alike to some earlier, different set: not the number of links, which is ``class_links``), removed (line numbers):
+    a row for each text."""
+    docs = docs.select("doc_id", "text")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
+    sets, classes = class_sets(docs)
     matched = stage(matched_classes(sets, classes), "lines-matched")
     verdict = classes.join(matched.withColumn("linked", F.lit(True)), "h1", "left").select("h1", "h2", first.alias("at"), F.coalesce("linked", F.lit(False)).alias("linked"))
     judged = sets.select("doc_id", "key", "line", "h1", "h2").join(verdict, ["h1", "h2"], "left")
@@ -262,11 +277,30 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op3_lines(spark, sf_dir) -> DataFrame:
-    """Every document: its lines with words, those linked to an earlier set, and the numbers of those removed."""
+    """Every document: its lines with words, those whose set is alike to an earlier one, and the numbers of those removed.
+    The links themselves are in ``op3_links``."""
     small_batches(spark)
     return removed_lines(documents(spark, sf_dir)).select("doc_id", F.col("n_lines"), F.col("n_links"), F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.transform("removed", lambda x: x.cast("string"))).alias("removed"))
 
 
+def op3_links(spark, sf_dir) -> DataFrame:
+    """The similarity join whole: every pair of alike, different lines, each by the first place of its set, the earlier first."""
+    small_batches(spark)
+    sets, classes = class_sets(documents(spark, sf_dir).select("doc_id", "text"))
+    at = classes.select("h1", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line").alias("at"))
+    left, right = (at.select(F.col("h1").alias(i), F.col("at").alias(f"p{i}")) for i in ("a", "b"))
+    ends = class_links(sets, classes).join(left, "a").join(right, "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
+    return ends.select(F.col("x.doc_id").alias("doc_a"), F.col("x.line").alias("line_a"), F.col("y.doc_id").alias("doc_b"), F.col("y.line").alias("line_b"))
+
+
+def op3_members(spark, sf_dir) -> DataFrame:
+    """Every line with a word, and the first place of its set: what ``op3_links`` names."""
+    small_batches(spark)
+    sets, classes = class_sets(documents(spark, sf_dir).select("doc_id", "text"))
+    place = classes.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
+    return sets.filter("line >= 0").select("doc_id", "line", "h1", "h2").join(place, ["h1", "h2"]).select("doc_id", "line", "first_doc", "first_line")
+
+
 def stage_lines(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """All documents, without later matches among their lines; their columns."""
     small_batches(spark)
