@@ -86,6 +86,20 @@ def st05_gate(t: Tables) -> DataFrame:
     return fit.select("user_id", ((F.col("a") * 1e4 >= R.CI_LOWER_GATE) & (F.col("n") >= LEAST)).alias("smile_valid"))
 
 
+def _gate(t: Tables) -> DataFrame:
+    """user_id, smile_valid: enough points and a lower limit of the seeded bootstrap, unrounded, at the gate or above."""
+    post = _post(t)
+    ci = R.bootstrap_ci(post, "user_id", "t", "y", R.multiplicities(t.spark, list(range(LEAST, 31))))
+    valid = F.coalesce(F.col("ci_lower") >= R.CI_LOWER_GATE, F.lit(False))
+    return post.groupBy("user_id").agg(F.count("*").alias("n")).join(ci, "user_id", "left").select("user_id", ((F.col("n") >= LEAST) & valid).alias("smile_valid"))
+
+
+@query()
+def st05_gate_bootstrap(t: Tables) -> DataFrame:
+    """The survey's gate: the lower confidence limit, which SQL can't draw."""
+    return _gate(t)
+
+
 _BASE = "b AS (SELECT user_id, quantile_cont(x, 0.75) AS pre_baseline, count(x) AS nb FROM s WHERE d < 8 AND x IS NOT NULL GROUP BY 1 HAVING count(x) >= 3)"
 
 
@@ -118,10 +132,23 @@ def st06_expfit(t: Tables) -> DataFrame:
 def st08_recovery(t: Tables) -> DataFrame:
     """The whole detection for one class: baseline, threshold, validated curvature, smoothed sustained crossing after
     the vertex, exponential fit. Four days stand for a month, and two months for the least delay."""
-    rows = smoothed(t)
-    base = R.baseline(rows, "user_id", "x", F.col("d") < EVENT_DAY).filter("user_id % 3 = 0")
-    fit = R.fit_quadratic(_post(t), "user_id", "t", "y", least=LEAST)
+    curve = R.fit_quadratic(_post(t), "user_id", "t", "y", least=LEAST)
     valid = F.coalesce((F.col("a") * 1e4 >= R.CI_LOWER_GATE) & (F.col("n") >= LEAST), F.lit(False))
+    return _recovery(t, curve.withColumn("smile_valid", valid), "user_id % 3 = 0")
+
+
+@query()
+def st08_recovery_bootstrap(t: Tables) -> DataFrame:
+    """``st08_recovery`` with the bootstrap's gate, over every user."""
+    curve = R.fit_quadratic(_post(t), "user_id", "t", "y", least=LEAST)
+    return _recovery(t, curve.join(_gate(t), "user_id", "left"), "true")
+
+
+def _recovery(t: Tables, fit: DataFrame, keep: str) -> DataFrame:
+    """``fit``: user_id, a, vertex, smile_valid."""
+    rows = smoothed(t)
+    base = R.baseline(rows, "user_id", "x", F.col("d") < EVENT_DAY).filter(keep)
+    valid = F.coalesce("smile_valid", F.lit(False))
     gates = base.join(fit, "user_id", "left").select("user_id", "pre_baseline", F.least(F.col("pre_baseline") * R.THRESHOLD_SHARE, F.lit(60.0)).alias("threshold"), "a", "vertex", valid.alias("valid"))
     from ..operators.series import sustained_crossing
 

@@ -21,7 +21,7 @@ def series_dir(spark, tmp_path_factory):
         for d in range(30):
             if (d + u) % 11 != 5:
                 noise = r.normal() * (0 if u == 40 else 15 if u in (41, 7) else 0.02)
-                rows.append((u, datetime(2024, 1, 1, 12) + timedelta(days=d), 50.0 + (0.05 * (d - 16) ** 2 if u != 39 else 0.0) + noise))
+                rows.append((u, datetime(2024, 1, 1, 12) + timedelta(days=d), 50.0 + (0.05 * (d - (12 if u == 0 else 16)) ** 2 if u != 39 else 0.0) + noise))
     path = str(tmp_path_factory.mktemp("series"))
     spark.createDataFrame(rows, "user_id long, ts timestamp, value double").write.mode("overwrite").parquet(f"{path}/events.parquet")
     return path
@@ -84,3 +84,20 @@ def test_mart_and_left_join_over_every_key(spark, small_dir):
     names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{small_dir}/customer.parquet").collect()}
     want = {r.o_orderkey: names.get(r.o_custkey) for r in spark.read.parquet(f"{small_dir}/orders.parquet").collect()}
     assert {r.o_orderkey: r.c_name for r in QUERIES["jn01_left_whole"](spark, small_dir).collect()} == want
+
+
+def test_gate_is_the_lower_limit(spark, series_dir):
+    rows, want, point = post(spark, series_dir), {}, {}
+    for u, points in rows.items():
+        t, y = (np.array(v) for v in zip(*after_event(points)))
+        n = len(t)
+        rng = np.random.default_rng(R.SEED)
+        fits = [curvature(t, y, np.bincount(rng.choice(n, n, replace=True), minlength=n)) for _ in range(R.BOOTSTRAPS)]
+        want[u] = bool(n >= 10 and np.percentile(fits, 2.5) >= R.CI_LOWER_GATE)
+        point[u] = bool(n >= 10 and curvature(t, y, np.ones(n)) >= R.CI_LOWER_GATE)
+    assert any(point[u] and not want[u] for u in want)
+    assert {r.user_id: r.smile_valid for r in QUERIES["st05_gate_bootstrap"](spark, series_dir).collect()} == want
+    got = {r.user_id: r for r in QUERIES["st08_recovery_bootstrap"](spark, series_dir).collect()}
+    assert {u: r.smile_valid for u, r in got.items()} == want
+    assert all(r.recovery_months_post_fire is None for u, r in got.items() if not want[u])
+    assert any(r.recovery_months_post_fire is not None for r in got.values())
