@@ -47,17 +47,28 @@ _LOOK = re.escape("".join(LOOKS))
 #: Where something may be obfuscated: a look-alike beside a letter, one letter three times, single characters set apart,
 #: separators within a word. The search is for these spots alone; each is widened to the run of non-blanks around it.
 APART = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_LOOK}])(?:[ .\-_*~]{{1,2}}(?:[^\W\d_]|[{_LOOK}])){{2,}}(?!\S)")
-SPOT = re.compile(rf"[^\W\d_][{_LOOK}]+[^\W\d_]|(?<!\S)[{_LOOK}]+[^\W\d_]{{2}}|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_]+[.\-_*~][^\W\d_]")
+SPOT = re.compile(rf"[^\W\d_][{_LOOK}]|[{_LOOK}][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*~][^\W\d_]+[.\-_*~][^\W\d_]")
 BLANK = re.compile(r"\s")
-LAST_BLANK = re.compile(r"\S*\Z")
+
+
+def _run_start(text: str, at: int, low: int) -> int:
+    """Where the run of non-blanks before ``at`` starts, no sooner than ``low``. Looks back twice as far each time, so it
+    takes time in proportion to the run."""
+    size = 64
+    while True:
+        piece = text[max(low, at - size) : at]
+        tail = 0 if not piece or piece[-1].isspace() else len(piece.rsplit(None, 1)[-1])
+        if tail < len(piece) or at - size <= low:
+            return at - tail
+        size *= 2
 
 
 def suspects(text: str) -> list[str]:
-    found, done = [m[0] for m in APART.finditer(text)], 0
+    found, done = [], 0
     for m in SPOT.finditer(text):
         if m.start() < done:
             continue
-        a = m.start() - len(LAST_BLANK.search(text[max(0, m.start() - 64) : m.start()])[0])
+        a = _run_start(text, m.start(), done)
         after = BLANK.search(text, m.end())
         done = after.start() if after else len(text)
         found.append(text[a:done])
@@ -126,44 +137,60 @@ class Decoder:
         self.cost = CharacterModel(counts).cost
         self.restore = lru_cache(100_000)(self._restore)
 
-    def _restore(self, seen: str) -> str:
-        """The likeliest letters behind ``seen``."""
+    def _restore(self, seen: str, apart: bool = False) -> str:
+        """The likeliest letters behind ``seen``; of characters set apart (``apart``) in words, as a separator may also end
+        one. Takes time in proportion to the length: letters are kept as chains."""
         cost = self.cost
         # A state is the last two symbols, the last letter seen and whether it was emitted: cost and letters so far.
-        beam: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        beam: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for c in seen.lower():
             options: list[tuple[str, float]] = []
             if c.isalpha():
                 options.append((c, 0.0))
             options += [(x, COST_LOOK) for x in LOOKS.get(c, "")]
             drop = COST_SEPARATOR if c in SEPARATORS else COST_DROP if not c.isalnum() else None
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+            new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
 
-            def put(state: tuple[int, int, str], value: tuple[float, str], new: dict = new) -> None:
+            def put(state: tuple[int, int, str], total: float, chain: tuple | None, new: dict = new) -> None:
                 old = new.get(state)
-                if old is None or value < old:
-                    new[state] = value
+                if old is None or total < old[0]:
+                    new[state] = (total, chain)
 
-            for (a, b, last), (total, text) in beam.items():
+            for (a, b, last), (total, chain) in beam.items():
                 if drop is not None:
-                    put((a, b, last), (total + drop, text))
+                    put((a, b, last), total + drop, chain)
+                    if apart and b and c in SEPARATORS:
+                        put((0, 0, ""), total + drop + cost[a][b][0], (chain, " "))
                 for letter, extra in options:
                     s = _symbol(letter)
-                    put((b, s, letter), (total + extra + cost[a][b][s], text + letter))
+                    put((b, s, letter), total + extra + cost[a][b][s], (chain, letter))
                     if letter == last:
-                        put((a, b, last), (total + extra + COST_REPEAT, text))
+                        put((a, b, last), total + extra + COST_REPEAT, chain)
                 if drop is None and not options:
-                    put((a, b, last), (total + 2 * COST_DROP, text))
+                    put((a, b, last), total + 2 * COST_DROP, chain)
             beam = new
-        return min((total + cost[a][b][0], text) for (a, b, _), (total, text) in beam.items())[1]
+        chain, letters = min(((total + cost[a][b][0], chain) for (a, b, _), (total, chain) in beam.items()), key=lambda x: x[0])[1], []
+        while chain:
+            chain, letter = chain
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    def read(self, seen: str, apart: bool = False) -> str:
+        """``_restore``, remembered for what is short enough to come again."""
+        return (self.restore if len(seen) <= 64 else self._restore)(seen, apart)
 
     def words(self, text: str) -> set[str]:
         """Distinct lower-case words of a text as it stands and as restored."""
         low = text.lower()
         found = set(WORD.findall(low))
         for seen in suspects(low):
-            found.add(self.restore(seen) if len(seen) <= 64 else "")
+            found.add(self.read(seen))
             found.update(WORD.findall(seen))
+        for m in APART.finditer(low):
+            # A word set apart, or a sentence.
+            found.add(self.read(m[0]))
+            found.update(self.read(m[0], True).split())
+            found.update(WORD.findall(m[0]))
         found.discard("")
         return found
 
