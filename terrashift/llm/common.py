@@ -15,9 +15,12 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder the cluster names. Only a local master may do without: executors of a cluster could not see
+    each other's files in a machine's own folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="terrashift-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -26,6 +29,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    # Shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -33,11 +38,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(*frames: DataFrame) -> None:
     """Delete what ``stage`` wrote, once whatever is read from it has been staged in turn."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_row(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row``, all columns of ``docs`` in one, beside ``more``: no name of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(v.alias(k) for k, v in more.items()))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
