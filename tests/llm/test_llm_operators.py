@@ -104,23 +104,30 @@ def test_tiff_rows(spark, odd, empty):
 # --- context-tree weighting -----------------------------------------------------------------------------------------
 
 
-def ctw_by_recursion(units, depth):
-    """Probability of a byte in a context under the mixture, by the definition."""
+def coded(text):
+    """The bytes that are coded: words with one blank between, then the stop."""
+    return [*" ".join(WORD.findall(low(text or ""))).encode(), 255]
+
+
+def ctw_by_recursion(texts, depth):
+    """log10 probability of a text under the mixture over the training texts, by the definition."""
     from functools import cache
-    from math import exp, lgamma, log
+    from math import exp, lgamma, log, log10
 
     counts = defaultdict(lambda: [0, 0])
     contexts = defaultdict(set)
-    for unit, c in units.items():
-        seq = [ord(unit[0]), 0, *unit[1:].encode(), 10]
-        for i in range(2, len(seq)):
-            ctx = tuple(seq[max(0, i - depth) : i][::-1])
-            ctx = ctx + (None,) * (depth - len(ctx))
+
+    def steps(text):
+        seq = [254] * depth + coded(text)
+        for i in range(depth, len(seq)):
+            yield tuple(seq[i - depth : i][::-1]), seq[i]
+
+    for text in texts:
+        for ctx, byte in steps(text):
             for k in range(8):
-                node = (256 + seq[i]) >> (8 - k)
-                bit = seq[i] >> (7 - k) & 1
+                node = (256 + byte) >> (8 - k)
                 for d in range(depth + 1):
-                    counts[ctx[:d], node][bit] += c
+                    counts[ctx[:d], node][byte >> (7 - k) & 1] += 1
                     if d:
                         contexts[ctx[: d - 1], node].add(ctx[:d])
 
@@ -129,15 +136,15 @@ def ctw_by_recursion(units, depth):
 
     @cache
     def pw(ctx, node):
-        a, b = counts[ctx, node]
+        x = kt(*counts[ctx, node])
         if len(ctx) == depth:
-            return kt(a, b)
-        below = sum(pw(child, node) for child in contexts[ctx, node])
-        x, y = kt(a, b), below
+            return x
+        y = sum(pw(child, node) for child in contexts[ctx, node])
         return log(0.5) + max(x, y) + log(exp(x - max(x, y)) + exp(y - max(x, y)))
 
+    @cache
     def one(ctx, node, d=0):
-        if (ctx[:d], node) not in counts or sum(counts[ctx[:d], node]) == 0:
+        if (ctx[:d], node) not in counts:
             return 0.5
         a, b = counts[ctx[:d], node]
         own = (b + 0.5) / (a + b + 1)
@@ -146,29 +153,30 @@ def ctw_by_recursion(units, depth):
         stop = exp(log(0.5) + kt(a, b) - pw(ctx[:d], node))
         return stop * own + (1 - stop) * one(ctx, node, d + 1)
 
-    def score(unit):
-        seq, total = [ord(unit[0]), 0, *unit[1:].encode(), 10], 0.0
-        for i in range(2, len(seq)):
-            ctx = tuple(seq[max(0, i - depth) : i][::-1])
-            ctx = ctx + (None,) * (depth - len(ctx))
+    def score(text):
+        total = 0.0
+        for ctx, byte in steps(text):
             for k in range(8):
-                p = one(ctx, (256 + seq[i]) >> (8 - k))
-                total += np.log10(p if seq[i] >> (7 - k) & 1 else 1 - p)
+                p = one(ctx, (256 + byte) >> (8 - k))
+                total += log10(p if byte >> (7 - k) & 1 else 1 - p)
         return total
 
     return score
 
 
-def test_ctw_equals_recursion(spark):
+@pytest.mark.parametrize(("head", "block", "piece"), [(ctw.HEAD, ctw.BLOCK, ctw.PIECE), (50, 64, 40)])
+def test_ctw_equals_recursion(spark, monkeypatch, head, block, piece):
+    """Whole texts; the second time with small bounds, so that most events meet the texts in the join."""
+    for name, value in (("HEAD", head), ("HEAD_WORDS", 5), ("BLOCK", block), ("PIECE", piece), ("HELD", 30 * piece)):
+        monkeypatch.setattr(ctw, name, value)
     r = random.Random(3)
-    units = {f"{r.choice('01')}{''.join(r.choice('abé') for _ in range(r.randint(1, 5)))}": r.randint(0, 4) for _ in range(60)}
-    units["0\n"] = 5
-    want = ctw_by_recursion({u: c for u, c in units.items() if c}, ctw.DEPTH)
-    table = spark.createDataFrame(list(units.items()), "unit string, c long")
-    got = {r.unit: r.lp for r in ctw.unit_scores(table).collect()}
-    assert set(got) == set(units)
-    for u in units:
-        assert got[u] == pytest.approx(want(u), rel=1e-8), u
+    texts = [" ".join("".join(r.choice("abé") for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    texts += [None, "", " A\n\n b\t", "zz zz", "A b", "\x00\x01 \x00", "日本 " * 5, texts[0], texts[3]]
+    want = ctw_by_recursion([t for i, t in enumerate(texts) if i % 3], ctw.DEPTH)
+    got = {x.doc_id: x for x in ctw.score_texts(docs_of(spark, texts), F.col("doc_id") % 3 != 0).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(want(t), rel=1e-8), t
+        assert got[i].bits_per_byte == pytest.approx(-want(t) / np.log10(2) / len(coded(t)), rel=1e-8)
 
 
 def test_ctw_texts(spark, odd, empty):
