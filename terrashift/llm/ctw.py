@@ -42,7 +42,7 @@ HEAD_WORDS = 300_000
 #: Events that a task holds before it sends them on, and that it works off at a time.
 HELD, PIECE = 4_000_000, 400_000
 #: Bytes of a batch that are turned into events at a time: memory doesn't follow the length of a text.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes that no UTF-8 text has.
 START, STOP = 0xFE, 0xFF
 _SPACE = np.zeros(256, bool)
