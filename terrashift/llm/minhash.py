@@ -6,11 +6,13 @@ signature: with m of n values equal, the similarity's posterior under a uniform
 the pair is dropped as soon as the posterior gives at most ``MISS`` to a similarity of the threshold or more. Survivors
 are verified on the full shingle sets. Links between classes become components.
 
-Large groups. At first each class meets one class: of the leads of its buckets the one that it shares most buckets
-with. Verified links are contracted to components, and this is done again with other leads for what is still apart, a
-few times. Only members of a bucket that lie in different components after that are compared all with all, block
-against block within tasks, and only pairs that survive the pruning become rows. Copies and near copies so cost their
-number, not its square, and no link that matters to a component is lost.
+Large groups. At first each class meets a few others: of the leads of its buckets those that it shares most buckets
+with. The lead of a bucket is its most central class, the one with most company in all its buckets, as copies with few
+edits link with more of the others than copies with many. Verified links are contracted to components. Only what shares
+a bucket across components is left then: in each such bucket the largest component's members are dealt to blocks, and
+so are all others; others meet the largest component and each other, block against block within tasks, where the same
+batches prune and the full sets decide. A task yields no more links than join its components, so copies and near copies
+cost their number in rows, not its square, and no link that matters to a component is lost.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are kept; repeated rows are
 a document each time and all get the component of their text; a null doc_id never becomes a component's id unless
@@ -24,21 +26,21 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, documents, lower_az, row_key, small_batches, stage, words_of
+from .common import Vocabulary, documents, lower_az, row_key, release, small_batches, stage, with_row, words_of
 
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 24
 MISS = 1e-6
-BLOCK = 256
+BLOCK = 512
 FILTER_BITS = 1 << 24
-ROUNDS = 4
+#: Leads that a class is compared with before components are formed.
+LEADS = 3
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _seeds = np.random.default_rng(9)
 _A = _seeds.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -152,27 +154,37 @@ def prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """node, set: the full shingle sets of ``nodes``, from the texts again."""
     wanted = stage(classes.join(nodes, "node").select("node", "first_id", "first_key"), "minhash-wanted")
-    # A bitmap of fixed size spares the texts of other rows the shuffle; the join that follows decides.
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    at = wanted.select(F.pmod("first_key", F.lit(FILTER_BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = None
+    if wanted.count() <= FILTER_BITS // 8:
+        # A bitmap of fixed size spares the texts of other rows the shuffle; the join that follows decides.
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        at = wanted.select(F.pmod("first_key", F.lit(FILTER_BITS)).alias("bit")).toArrow()["bit"].to_numpy()
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, bits = Vocabulary(), shared.value
+        vocabulary = Vocabulary()
         for b in batches:
-            bit = b.column("key").to_numpy() % FILTER_BITS
-            rows = pa.array(np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1))
+            if shared is not None:
+                bit = b.column("key").to_numpy() % FILTER_BITS
+                b = b.take(pa.array(np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)))
             out = []
-            for text in b.column("text").take(rows).to_pylist():
+            for text in b.column("text").to_pylist():
                 words = words_of(lower_az(text)) if text else []
                 out.append(shingle_hashes(np.fromiter(map(vocabulary.__getitem__, words), np.uint64, len(words)), k).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), pa.array(out, pa.binary())], ["doc_id", "key", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(out, pa.binary())], ["doc_id", "key", "set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(sets, f"doc_id {kind}, key long, set binary")
     same = (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    return stage(read.join(wanted, same).dropDuplicates(["node"]).select("node", "set"), "minhash-sets")
+    found = stage(read.join(wanted, same).dropDuplicates(["node"]).select("node", "set"), "minhash-sets")
+    release(wanted)
+    return found
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,12 +192,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            keep = [i for i, (x, y) in enumerate(both) if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
 
@@ -194,17 +202,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def lead_pairs(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """a < b: each class that is still apart from the lead of a bucket, with the lead that it shares most buckets with.
-    Leads change with ``turn``: the least class first, then the least of a hash."""
-    member = buckets if labels is None else buckets.join(labels, "node")
-    by = F.col("node") if labels is None else F.xxhash64("node", F.lit(turn))
-    lead = member.groupBy("bucket").agg(F.min(F.struct(by.alias("h"), *([] if labels is None else [F.col("root").alias("r")]), F.col("node").alias("n"))).alias("lead"))
-    apart = member.join(lead, "bucket").filter(F.col("node") != F.col("lead.n"))
-    if labels is not None:
-        apart = apart.filter(F.col("root") != F.col("lead.r"))
-    shared = apart.groupBy("node", F.col("lead.n").alias("lead")).agg(F.count("*").alias("c"))
-    best = shared.groupBy("node").agg(F.max_by("lead", F.struct("c", F.xxhash64("lead", F.lit(turn)))).alias("lead"))
+def lead_pairs(buckets: DataFrame) -> DataFrame:
+    """a < b: each class with the ``LEADS`` leads that it shares most buckets with. ``buckets``: node, bucket, size."""
+    central = buckets.groupBy("node").agg(F.sum("size").alias("central"))
+    member = buckets.join(central, "node")
+    lead = member.groupBy("bucket").agg(F.max(F.struct("central", "node"))["node"].alias("lead"))
+    met = member.join(lead, "bucket").filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
+    # A class has at most one lead a band.
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "lead")), False), 1, LEADS).alias("best")).select("node", F.explode("best.lead").alias("lead"))
     return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
@@ -225,70 +230,108 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 40) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket whose ends are in different components: compared block against block within tasks."""
-    member = buckets.join(labels, "node")
-    mixed = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket", "size")
-    # Members are dealt to blocks of about BLOCK by hash; a row goes to each pair of blocks that its own is part of.
-    open_rows = member.join(mixed, "bucket").join(classes.select("node", "n_shingles", "sig"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("p"), F.greatest(i, F.col("block")).alias("q"))))
-    dealt = dealt.select("bucket", "node", "root", "n_shingles", "sig", "block", pair.alias("pq")).select("bucket", "pq.p", "pq.q", "node", "root", "n_shingles", "sig", "block")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        _, p, q = key
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, HASHES)
-        node, root, size, block = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "block"))
-        left = np.flatnonzero(block == p)
-        out = []
-        for i in left:
-            others = np.flatnonzero((block == q) & (root != root[i]) & (np.minimum(size, size[i]) >= np.maximum(size, size[i]) * (threshold - 1e-9)))
-            others = others[others > i] if p == q else others
-            if len(others):
-                hit = others[agree(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], threshold)]
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in hit]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+class Joined(dict):
+    """Components joined so far within a task."""
+
+    def root(self, x: int) -> int:
+        while x in self:
+            x = self[x]
+        return x
+
+
+def across(rows: pa.Table, threshold: float, percent: int, joined: Joined) -> list[tuple[int, int]]:
+    """Links that join the components of two blocks of a bucket, or of one with itself: as many as it takes beyond those
+    ``joined`` already."""
+    rows = rows.sort_by("node")
+    p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+    node, root, size, own = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "own"))
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    out = []
+    right = np.flatnonzero(own == q)
+    for i in np.flatnonzero(own == p):
+        others = right[right > i] if p == q else right
+        others = others[(root[others] != root[i]) & (np.minimum(size[others], size[i]) >= np.maximum(size[others], size[i]) * (threshold - 1e-9))]
+        if not len(others):
+            continue
+        for j in others[agree(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], threshold)]:
+            x, y = joined.root(int(root[i])), joined.root(int(root[j]))
+            if x != y and alike(sets[i], sets[j], percent):
+                joined[max(x, y)] = min(x, y)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components: enough of them to join what is linked."""
+    member = buckets.select("bucket", "node").join(labels, "node")
+    per = member.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket")
+    mixed = per.agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = mixed.select("bucket", F.col("most.root").alias("major"), F.ceil(F.col("most.c") / BLOCK).cast("int").alias("nm"), (F.col("size") - F.col("most.c")).alias("few"))
+    mixed = mixed.withColumn("nf", F.ceil(F.col("few") / BLOCK).cast("int"))
+    rows = member.join(mixed, "bucket").withColumn("own", F.when(F.col("root") == F.col("major"), F.col("nf") + F.pmod(F.xxhash64("node"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("node"), F.col("nf"))).cast("int"))
+    # Blocks under nf hold the others. A row goes to each pair of blocks that its own is part of.
+    to_few = "transform(sequence(0, nf - 1), i -> struct(least(i, own) as p, greatest(i, own) as q))"
+    to_most = "transform(sequence(nf, nf + nm - 1), i -> struct(own as p, i as q))"
+    pairs = F.expr(f"if(own >= nf, {to_few}, if(few = 1, {to_most}, concat({to_few}, {to_most})))")
+    dealt = rows.select("bucket", "node", "root", "own", F.explode(pairs).alias("pq")).select("bucket", "pq.p", "pq.q", "node", "root", "own")
+    dealt = dealt.join(classes.select("node", "n_shingles", "sig"), "node").join(sets, "node")
+    dealt = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined = None, Joined()
+
+        def settle(table: pa.Table, last: bool) -> tuple[list[tuple[int, int]], pa.Table | None]:
+            """Links of the groups that are complete, and the rows of the one that may go on."""
+            key = [table[c].to_numpy() for c in ("bucket", "p", "q")]
+            at = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])))).tolist() + [table.num_rows]
+            out: list[tuple[int, int]] = []
+            for a, z in zip(at if last else at[:-1], at[1:] if last else at[1:-1], strict=False):
+                if z - a > 1:
+                    out += across(table.slice(a, z - a), threshold, percent, joined)
+            return out, None if last else table.slice(at[-2])
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                table = pa.Table.from_batches([b])
+                found, held = settle(table if held is None else pa.concat_tables([held, table]).combine_chunks(), False)
+                yield batch(found)
+        if held is not None:
+            yield batch(settle(held, True)[0])
+
+    return dealt.mapInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, key, n_shingles, component_id, kept for every row of ``docs``."""
     threshold = percent / 100
     rows = docs.select("doc_id", "text")
-    sets = stage(shingle_sets(rows, k), "minhash-rows")
+    signed = stage(shingle_sets(rows, k), "minhash-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    grouped = sets.filter("n_shingles > 0").groupBy("h1", "h2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    grouped = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), "n_shingles", "sig"), "minhash-classes")
+    sets = stage(signed.drop("sig"), "minhash-sizes")
+    release(signed)
     banded = bands(classes)
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = stage(banded.join(shared, "bucket"), "minhash-buckets")
     sets_of = full_sets(buckets.select("node").distinct(), classes, rows, k)
-    pairs, labels, tried, links = buckets.select("bucket", "node"), None, None, None
-    for turn in range(ROUNDS):
-        new = lead_pairs(pairs, labels, turn)
-        new = stage(prune(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), classes, threshold), "minhash-tried")
-        if new.isEmpty():
-            break
-        tried = new if tried is None else tried.unionByName(new)
-        found = stage(verify(new, sets_of, percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        labels = stage(components(classes, links), "minhash-labels")
-    if labels is None:
-        labels = classes.select("node", F.col("node").alias("root"))
+    tried = stage(prune(lead_pairs(buckets), classes, threshold), "minhash-tried")
+    links = stage(verify(tried, sets_of, percent), "minhash-links")
+    labels = stage(components(classes, links), "minhash-labels")
     # Then whatever shares a bucket across components.
-    rest = rest_pairs(pairs, labels, classes, threshold)
-    rest = stage(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "minhash-rest")
-    if not rest.isEmpty():
-        more = stage(verify(rest, sets_of, percent), "minhash-links")
-        if not more.isEmpty():
-            labels = stage(components(classes, more if links is None else links.unionByName(more)), "minhash-labels")
+    more = stage(rest_links(buckets, labels, classes, sets_of, threshold, percent), "minhash-links")
+    if not more.isEmpty():
+        labels = stage(components(classes, links.unionByName(more)), "minhash-labels")
     member = classes.select("node", "h1", "h2", "first_id").join(labels, "node")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component"))
-    member = member.join(smallest, "root").select("h1", "h2", "component")
+    member = stage(member.join(smallest, "root").select("h1", "h2", "component"), "minhash-member")
+    release(classes, buckets, sets_of, tried, links, more, labels)
     own = F.coalesce("component", "doc_id")
-    joined = sets.drop("sig").join(member, ["h1", "h2"], "left")
+    joined = sets.join(member, ["h1", "h2"], "left")
     return joined.select("doc_id", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
@@ -299,7 +342,10 @@ def op9_minhash(spark, sf_dir) -> DataFrame:
 
 
 def stage_minhash(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """One document of each component of near duplicates (five-word shingles); their columns."""
+    """One document of each component of near duplicates (five-word shingles), of a row and its repeats one; rows without
+    words all stay. Their columns."""
     small_batches(spark)
-    kept = near_duplicates(docs).filter("kept").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").select(*docs.columns)
+    kept = stage(near_duplicates(docs).filter("kept").groupBy("key").agg(F.max("n_shingles").alias("n")), "minhash-kept")
+    rows = with_row(docs, key=row_key()).join(kept, "key")
+    one = rows.withColumn("copy", F.when(F.col("n") == 0, F.monotonically_increasing_id())).dropDuplicates(["key", "copy"])
+    return one.select("row.*")

@@ -46,7 +46,7 @@ def test_stages(spark, tmp_path):
     for p in pieces:
         tokens[p.doc_id] += p.length
     assert set(tokens) == set(after) and all(p.length <= packing.LENGTH for p in pieces)
-    assert minhash.ROUNDS and spans.WORDS and docs.filter(F.col("text").isNull()).count() == 0
+    assert minhash.LEADS and spans.WORDS and docs.filter(F.col("text").isNull()).count() == 0
 
 
 def test_run(spark, small_dir):
