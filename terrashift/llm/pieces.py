@@ -16,6 +16,7 @@ byte pieces that form no valid character decode to U+FFFD.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,8 +30,8 @@ from .common import documents, small_batches
 
 MARK = "▁"
 PENALTY = 10.0
-#: Paths that a task keeps from one batch to the next.
-REMEMBERED = 250_000
+#: Paths that a worker keeps from one batch to the next, and the longest word kept.
+REMEMBERED, LONGEST = 400_000, 48
 
 
 def default_model() -> str:
@@ -50,7 +51,8 @@ class Pieces:
         self.special = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.raw = {i: p.encode() for i, p in enumerate(self.pieces) if i not in self.special} | {i: bytes((b,)) for i, b in self.byte_of.items()}
+        self.raw = [b"" if i in self.special else bytes((self.byte_of[i],)) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
+        self.paths: dict[str, bytes] = {}
         self._fill({p: (sp.get_score(i), i) for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of})
 
     def _fill(self, scored: dict[str, tuple[float, int]]) -> None:
@@ -58,11 +60,13 @@ class Pieces:
         if any(MARK in p[1:] and p.strip(MARK) for p in scored):
             raise ValueError("a piece has a mark behind other characters: texts can't be cut into words")
         self.unknown = min(s for s, _ in scored.values()) - PENALTY
-        ends: dict[str, set[int]] = {}
-        for p in scored:
-            ends.setdefault(p[-1], set()).add(len(p))
-        # Lengths of the pieces that end with a character, the longest first.
-        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
+        # A trie of the reversed pieces: from a position back, each step is one character of a possible last piece.
+        self.back: dict = {}
+        for p, hit in scored.items():
+            node = self.back
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = hit
         chars = {c for p in scored for c in p}
         apart = "".join(c for c in "\n\t\r\x0b\x0c" if c not in chars)
         self.cut = re.compile(f"[{apart}]|{MARK}*[^{MARK}{apart}]+|{MARK}+") if apart else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -72,7 +76,7 @@ class Pieces:
 
     def best_paths(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each distinct word, depth first through the trie of the sorted words."""
-        scored, lengths, unknown = self.scored, self.lengths, self.unknown
+        scored, root, unknown = self.scored, self.back, self.unknown
         best, start, piece = [0.0], [0], [-1]
         last, out = "", {}
         for w in sorted(words):
@@ -84,11 +88,16 @@ class Pieces:
             for j in range(k + 1, n + 1):
                 # A character may stand as its bytes only if it is no piece itself.
                 found, at, which = (best[j - 1] + unknown if w[j - 1] not in scored else float("-inf")), j - 1, -1
-                for size in lengths.get(w[j - 1], ()):
-                    if size <= j:
-                        hit = scored.get(w[j - size : j])
-                        if hit is not None and (score := best[j - size] + hit[0]) > found:
-                            found, at, which = score, j - size, hit[1]
+                node, i = root, j
+                while i:
+                    node = node.get(w[i - 1])
+                    if node is None:
+                        break
+                    i -= 1
+                    hit = node.get("")
+                    # The longer last piece comes later and wins a tie.
+                    if hit is not None and (score := best[i] + hit[0]) >= found:
+                        found, at, which = score, i, hit[1]
                 best.append(found)
                 start.append(at)
                 piece.append(which)
@@ -103,9 +112,28 @@ class Pieces:
             last = w
         return out
 
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The ids of each text, four bytes an id (little-endian)."""
+        split = [self.words(t or "") for t in texts]
+        known = self.paths
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = {w for words in split for w in words if w not in known}
+        found = {w: np.array(ids, "<i4").tobytes() for w, ids in self.best_paths(new).items()}
+        long = {w: ids for w, ids in found.items() if len(w) > LONGEST}
+        for w, ids in found.items():
+            if w not in long:
+                known[w] = ids
+        find = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        return [b"".join(map(find, words)) for words in split]
+
     def decode(self, ids: Iterable[int]) -> str:
-        raw = self.raw.get
-        text = b"".join([raw(i, b"") for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        raw, n = self.raw, len(self.raw)
+        try:
+            found = b"".join([raw[i] for i in ids])
+        except IndexError:
+            found = b"".join([raw[i] for i in ids if 0 <= i < n])
+        text = found.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -125,17 +153,10 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
-        paths: dict[str, np.ndarray] = {}
         for b in batches:
-            split = [pieces.words(t or "") for t in b.column(text).to_pylist()]
-            if len(paths) > REMEMBERED:
-                paths.clear()
-            new = {w for words in split for w in words if w not in paths}
-            paths.update((w, np.array(i, np.int32)) for w, i in pieces.best_paths(new).items())
-            none = np.empty(0, np.int32)
-            rows = [np.concatenate([paths[w] for w in words]) if words else none for words in split]
-            ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else none))
+            rows = pieces.encode(b.column(text).to_pylist())
+            ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), column], [*keep, out])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` array<int>"])
@@ -157,15 +178,26 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids", out: str =
     return df.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
-def op5_pieces(spark, sf_dir) -> DataFrame:
-    """Every text encoded and decoded again; digests of both."""
-    small_batches(spark, 4000)
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(docs))
+def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, n_chars, decoded_sha256, round_trip: every text encoded and decoded again in one pass."""
+    path = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(path)
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            rows = []
+            for text, ids in zip(texts, pieces.encode(texts), strict=True):
+                back = pieces.decode(np.frombuffer(ids, "<i4").tolist())
+                rows.append((len(ids) // 4, zlib.crc32(ids), len(text), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text.replace(MARK, " ")))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_ids", "ids_crc32", "n_chars", "decoded_sha256", "round_trip"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids long, ids_crc32 long, n_chars long, decoded_sha256 string, round_trip boolean")
 
-    @F.pandas_udf("long")
-    def crc(ids):
-        return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
 
-    marked = F.translate("text", MARK, " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), crc("ids").alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == marked).alias("round_trip"))
+def op5_pieces(spark, sf_dir) -> DataFrame:
+    """Every text encoded and decoded again; digests of both."""
+    small_batches(spark)
+    return digests(documents(spark, sf_dir))
