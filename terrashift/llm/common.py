@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-import xxhash
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,27 +71,14 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
-class Vocabulary(dict):
-    """Words to their hashes, forgotten when too many: each distinct word is hashed once a task, not once an occurrence.
-
-    Hashes fit a signed 64-bit column.
-    """
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_ascii_lower = {c: c + 32 for c in range(65, 91)}
-
-
-def lower_az(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_ascii_lower)
+def flat_binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column without nulls in one array, and how many each row has."""
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return np.ascontiguousarray(flat).view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
 def words_of(text: str | None) -> list[str]:

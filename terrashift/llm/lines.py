@@ -5,12 +5,13 @@ A line's set is its distinct words, A-Z in lower case. Lines of equal sets form
 when it isn't the first of its class, or when its class is linked to one whose first place is earlier.
 
 The join orders a line's words by rarity (a count sketch of fixed size: any total order gives the same links, a good
-one is fast), indexes only the prefix that two linked sets must share a word in, and joins on those words with the
-length filter, the positional filter and a parity bitmap: words that differ flip at most one bit each, so bitmaps of
-linked sets differ in few bits. What passes is verified on the full sets.
+one is fast), indexes only the prefix that two linked sets must share a word in, the shorter set's a little shorter, and
+joins on those words with the length filter, the positional filter and a parity bitmap: words that differ flip at most
+one bit each, so bitmaps of linked sets differ in few bits. What passes is verified on the full sets, which are made from
+the texts again for the lines that need it.
 
 Near copies in large numbers would make pairs by the square. So each class is first compared with a few earlier ones:
-in three MinHash buckets with the first class and the two right before it. A class that matches one of them is settled:
+in ``KEYS`` MinHash buckets with the first class and the two right before it. A class that matches one of them is settled:
 it has an earlier match, and no further one can change that. Only classes not settled probe the join; all classes stay
 targets. So every class still gets its exact answer, and copies cost their number.
 
@@ -26,55 +27,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, documents, row_key, small_batches, stage
+from .common import documents, flat_binary, release, row_key, small_batches, stage, with_row
+from .words import Words, mix
 
 PERCENT = 80
 CELLS = 1 << 20
 FILTER_BITS = 1 << 24
-KEYS = 3
-#: Bytes of a word's hash in a stored set: two sets of 50 words mistake a word for another once in 10^11 comparisons.
-STORED = 6
+KEYS = 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _A = np.random.default_rng(3).integers(1, 2**63, 2 * KEYS, dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(x: np.ndarray, m: np.uint64) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * m
-    return x ^ (x >> np.uint64(29))
-
-
-class Words:
-    """The words of a batch of texts, without a Python object per word: ``index`` into the distinct words, whose hashes
-    are ``hashes``, and the ``owner`` (number of the line) of each."""
-
-    def __init__(self, texts: pa.Array, vocabulary: Vocabulary):
-        listed = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
-        flat = listed.flatten()
-        self.row = pc.list_parent_indices(listed).to_numpy()
-        sizes = np.bincount(self.row, minlength=len(texts))
-        self.line = (np.arange(len(self.row)) - (np.cumsum(sizes) - sizes)[self.row]).astype(np.int32)
-        words = pc.ascii_split_whitespace(flat)
-        each, owner = words.flatten(), pc.list_parent_indices(words).to_numpy()
-        # A blank at either end of a line leaves an empty word there.
-        real = pc.greater(pc.binary_length(each), 0)
-        coded = each.filter(real).dictionary_encode()
-        self.index, self.owner = coded.indices.to_numpy(), owner[real.to_numpy(zero_copy_only=False)]
-        self.hashes = np.fromiter(map(vocabulary.__getitem__, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-
-
 def rarity(docs: DataFrame) -> Broadcast:
     """How often the words of each cell of a sketch occur; the sketch has CELLS cells whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cells = Vocabulary(), np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.int64)
         for b in batches:
-            w = Words(b.column("text"), vocabulary)
-            cells += np.bincount((w.hashes & np.uint64(CELLS - 1)).astype(np.int64), weights=np.bincount(w.index, minlength=len(w.hashes)), minlength=CELLS).astype(np.int64)
+            cells += np.bincount((Words(b.column("text")).hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         # Words met once in a task are as rare as unseen ones; leaving them out keeps what is sent small.
         at = np.flatnonzero(cells > 1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
@@ -86,181 +60,236 @@ def rarity(docs: DataFrame) -> Broadcast:
 
 
 class Sets:
-    """The word sets of a batch's lines, flat: ``tokens`` by rarity within each line, lines from ``starts``."""
-
-    def __init__(self, texts: pa.Array, vocabulary: Vocabulary, sketch: np.ndarray):
-        w = Words(texts, vocabulary)
+    """The word sets of a batch's lines, flat: ``tokens`` by rarity within each line (by hash without a sketch), lines
+    from ``starts``; ``row`` and ``line`` say which lines they are."""
+
+    def __init__(self, texts: pa.Array, sketch: np.ndarray | None = None):
+        w = Words(texts)
+        first = np.ones(len(w.hashes), bool)
+        first[1:] = (w.text[1:] != w.text[:-1]) | (w.line[1:] != w.line[:-1])
+        at = np.flatnonzero(first)
+        self.row, self.line = w.text[at], w.line[at]
         # Places of the batch's distinct words in the order of all: by count, then by hash. One sort of (line, place)
         # then settles both which words are repeated and which are rare.
-        order = np.lexsort((w.hashes, sketch[w.hashes & np.uint64(CELLS - 1)]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        key = np.sort(w.owner.astype(np.int64) << 32 | place[w.index])
+        words, index = np.unique(w.hashes, return_inverse=True)
+        if sketch is not None:
+            order = np.lexsort((words, sketch[words & np.uint64(CELLS - 1)]))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words, index = words[order], place[index]
+        key = np.sort((np.cumsum(first) - 1) << 32 | index)
         if len(key):
             key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        self.tokens = w.hashes[order][key & 0xFFFFFFFF]
-        owner = key >> 32
-        lines, self.owner, self.n = np.unique(owner, return_inverse=True, return_counts=True)
-        self.row, self.line = w.row[lines], w.line[lines]
+        self.tokens, self.owner = words[key & 0xFFFFFFFF], key >> 32
+        self.n = np.bincount(self.owner, minlength=len(at))
         self.starts = np.cumsum(self.n) - self.n
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each set: sums, so that the order of the words doesn't matter."""
         if not len(self.n):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        h1, h2 = (np.add.reduceat(_mix(self.tokens, m), self.starts) for m in (_M1, _M2))
-        return _mix(h1 + self.n.astype(np.uint64), _M2).view(np.int64), _mix(h2, _M1).view(np.int64)
+        h1, h2 = (np.add.reduceat(mix(self.tokens, m), self.starts) for m in (_M1, _M2))
+        return mix(h1 + self.n.astype(np.uint64), _M2).view(np.int64), mix(h2, _M1).view(np.int64)
 
 
 def line_sets(docs: DataFrame, sketch: Broadcast) -> DataFrame:
-    """For each line with a word: doc_id, key, line, h1, h2, n, sig, buckets, prefix and ``words``, the set as hashes of
-    ``STORED`` bytes. A text without such lines gives a row with line -1 and nulls."""
+    """For each line with a word: doc_id, key, line, h1, h2, n, sig, buckets and prefix. A text without such lines gives
+    a row with line -1 and nulls."""
     share = PERCENT / 100
-    names = ["doc_id", "key", "line", "h1", "h2", "n", "sig", "buckets", "prefix", "words"]
+    names = ["doc_id", "key", "line", "h1", "h2", "n", "sig", "buckets", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
         for b in batches:
-            s = Sets(b.column("text"), vocabulary, sketch.value)
+            s = Sets(b.column("text"), sketch.value)
             none = pa.array(np.setdiff1d(np.arange(b.num_rows), s.row))
             if len(none):
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(none), b.column("key").take(none), pa.array(np.full(len(none), -1, np.int32)), *(pa.nulls(len(none), k) for k in kinds)], names)
             if not len(s.n):
                 continue
             h1, h2 = s.hashes()
-            bit = np.uint64(1) << (_mix(s.tokens, _M2) >> np.uint64(58))
+            bit = np.uint64(1) << (mix(s.tokens, _M2) >> np.uint64(58))
             sig = np.bitwise_xor.reduceat(bit, s.starts).view(np.int64)
-            least = [np.minimum.reduceat(_mix(s.tokens * a, _M1), s.starts) for a in _A]
-            buckets = np.stack([_mix(least[2 * i] * _M2 ^ least[2 * i + 1] + np.uint64(i), _M1) for i in range(KEYS)], 1).view(np.int64)
+            least = [np.minimum.reduceat(mix(s.tokens * a, _M1), s.starts) for a in _A]
+            buckets = np.stack([mix(least[2 * i] * _M2 ^ least[2 * i + 1] + np.uint64(i), _M1) for i in range(KEYS)], 1).view(np.int64)
             place = np.arange(len(s.tokens)) - s.starts[s.owner]
             # In a shorter set every word counts: under four words only equal sets are linked.
             length = np.where(s.n < 4, 0, s.n - np.ceil(share * s.n - 1e-9).astype(np.int64) + 1)
             prefix = (s.tokens[place < length[s.owner]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(s.n), [None, pa.py_buffer((STORED * np.append(s.starts, len(s.tokens))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(s.tokens.view(np.uint8).reshape(-1, 8)[:, :STORED]))])
             row = pa.array(s.row)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(s.n) + 1, KEYS, dtype=np.int32)), pa.array(buckets.reshape(-1))), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(s.line), pa.array(h1), pa.array(h2), pa.array(s.n.astype(np.int32)), pa.array(sig), *lists, raw], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(s.line), pa.array(h1), pa.array(h2), pa.array(s.n.astype(np.int32)), pa.array(sig), *lists], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, key long, line int, h1 long, h2 long, n int, sig long, buckets array<long>, prefix array<int>, words binary"
+    schema = f"doc_id {kind}, key long, line int, h1 long, h2 long, n int, sig long, buckets array<long>, prefix array<int>"
     return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, schema)
 
 
-def _unpack(words: bytes) -> np.ndarray:
-    raw = np.frombuffer(words, np.uint8).reshape(-1, STORED)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :STORED] = raw
-    return out.view(np.uint64).reshape(-1)
+def _overlap(a: str, b: str) -> str:
+    """The least number of words that linked sets share."""
+    return f"ceil({PERCENT} * ({a}.n + {b}.n) / {100 + PERCENT}.0D - 1e-9)"
 
 
 def _possible(a: str, b: str) -> str:
     """Length and bitmap filters between two sides."""
-    overlap = f"ceil({PERCENT} * ({a}.n + {b}.n) / {100 + PERCENT}.0D - 1e-9)"
-    return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and bit_count({a}.sig ^ {b}.sig) <= {a}.n + {b}.n - 2 * {overlap}"
+    return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and bit_count({a}.sig ^ {b}.sig) <= {a}.n + {b}.n - 2 * {_overlap(a, b)}"
+
+
+def _by_prefix(a: str, b: str) -> str:
+    """Same word of the prefixes; a is the shorter set, of which a shorter prefix is enough; positional filter."""
+    indexed = f"{a}.place <= {a}.n - ceil({2 * PERCENT} * {a}.n / {100 + PERCENT}.0D - 1e-9)"
+    return f"{a}.token = {b}.token and ({a}.n < {b}.n or {a}.n = {b}.n and {a}.node < {b}.node) and {indexed} and least({a}.n - {a}.place, {b}.n - {b}.place) >= {_overlap(a, b)} and {_possible(a, b)}"
+
+
+def _first() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs a, b of classes (by h1) those whose full sets are alike enough. ``sets``: rows of line_sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    # A bitmap of fixed size spares the other sets the shuffle; the join that follows decides.
-    at = ends.select(F.pmod("h1", F.lit(FILTER_BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-    shared = pairs.sparkSession.sparkContext.broadcast(bits)
+def _shared_words(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """How many words the sets of each pair share: sets of all pairs in one array, with their sizes."""
+    owner = np.concatenate((np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)))
+    # A salt for each pair keeps its words together in one sort of all.
+    h = np.concatenate((x, y)) ^ mix(owner.astype(np.uint64) + np.uint64(1), _M1)
+    order = np.argsort(h)
+    h, owner = h[order], owner[order]
+    return np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=len(nx))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, done = shared.value, np.empty(0, np.int64)
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs a, b of classes those whose full sets are alike enough, staged. The sets come from the texts again."""
+    place = classes.select("node", F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("line").alias("l"))
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(place, "node"), "lines-wanted")
+    shared = None
+    if wanted.count() <= FILTER_BITS // 8:
+        # A bitmap of fixed size spares the other sets the shuffle; the join that follows decides.
+        at = wanted.select(F.col("k").bitwiseXOR(F.col("l").cast("long") * 40503).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")).toArrow()["bit"].to_numpy()
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        shared = pairs.sparkSession.sparkContext.broadcast(bits)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, first = np.unique(b.column("h1").to_numpy(), return_index=True)
-            bit = h1 % FILTER_BITS
-            hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool) & ~np.isin(h1, done)
-            # What a task has sent already it needn't send again; what it remembers is bounded.
-            done = h1[hit] if len(done) > 300_000 else np.concatenate([done, h1[hit]])
-            yield b.take(pa.array(first[hit]))
+            s = Sets(b.column("text"))
+            at = np.arange(len(s.n))
+            if shared is not None:
+                bit = (b.column("key").to_numpy()[s.row] ^ s.line.astype(np.int64) * 40503) & (FILTER_BITS - 1)
+                at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            row = pa.array(s.row[at])
+            inside = np.zeros(len(s.n), bool)
+            inside[at] = True
+            ends = np.concatenate(([0], np.cumsum(8 * s.n[at]))).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s.tokens[inside[s.owner]]))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(s.line[at]), raw], ["doc_id", "key", "line", "set"])
 
-    found = sets.filter("line >= 0").select("h1", F.col("words").alias("set")).mapInArrow(wanted, "h1 long, set binary").join(ends, "h1").dropDuplicates(["h1"])
-    found = stage(found, "lines-sets")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(sets, f"doc_id {kind}, key long, line int, set binary")
+    same = (F.col("key") == F.col("k")) & (F.col("line") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    found = stage(made.join(wanted, same).select("node", "set").dropDuplicates(["node"]), "lines-sets")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                x, y = _unpack(x), _unpack(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
-
-    left, right = (found.select(F.col("h1").alias(i), F.col("set").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-
-
-def matched_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """h1 of the classes that are linked to an earlier one."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    many = classes.filter("n >= 4")
-    placed = many.select(F.explode("buckets").alias("bucket"), first.alias("at"), "h1", "n", "sig")
-    own = F.struct("h1", "n", "sig")
-    order = Window.partitionBy("bucket").orderBy("at")
-    start = order.rowsBetween(Window.unboundedPreceding, 0)
-    seen = placed.select(own.alias("own"), F.first(own).over(start).alias("l0"), F.lag(own, 1).over(order).alias("l1"), F.lag(own, 2).over(order).alias("l2"))
-    before = seen.select("own", F.explode(F.array("l0", "l1", "l2")).alias("l"))
-    tried = before.filter(F.expr(f"l is not null and l.h1 <> own.h1 and {_possible('l', 'own')}"))
-    tried = stage(tried.select(F.col("l.h1").alias("a"), F.col("own.h1").alias("b")).distinct(), "lines-leaders")
-    settled = stage(verify(tried, sets).select(F.col("b").alias("h1")).distinct(), "lines-settled")
-
-    rows = many.join(settled.withColumn("done", F.lit(True)), "h1", "left").select(F.posexplode("prefix").alias("place", "token"), "h1", "doc_id", "n", "sig", F.coalesce("done", F.lit(False)).alias("done"))
-    overlap = f"ceil({PERCENT} * (a.n + b.n) / {100 + PERCENT}.0D - 1e-9)"
-    # b is the later class, or in the same document as a; only a class that isn't settled has to be answered.
-    later = "((a.doc_id < b.doc_id or (a.doc_id is not null and b.doc_id is null)) and not b.done) or (a.doc_id <=> b.doc_id and a.h1 < b.h1 and not (a.done and b.done))"
-    near = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and ({later}) and least(a.n - a.place, b.n - b.place) >= {overlap} and {_possible('a', 'b')}"))
-    pairs = stage(near.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct(), "lines-pairs")
-    links = stage(verify(pairs, sets), "lines-links")
-    place = classes.select("h1", first.alias("at"))
-    ended = links.join(place.select(F.col("h1").alias("a"), F.col("at").alias("pa")), "a").join(place.select(F.col("h1").alias("b"), F.col("at").alias("pb")), "b")
-    answered = ended.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("h1"))
-    return settled.unionByName(answered).distinct()
+            if b.num_rows:
+                (x, nx), (y, ny) = (flat_binary(b.column(c), np.uint64) for c in ("x", "y"))
+                both = _shared_words(x, nx, y, ny)
+                at = pa.array(np.flatnonzero(100 * both >= PERCENT * (nx + ny - both)))
+                yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
+
+    left, right = (found.select(F.col("node").alias(i), F.col("set").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    out = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "lines-alike")
+    release(wanted, found)
+    return out
+
+
+def leaders(classes: DataFrame) -> DataFrame:
+    """a, b: each class b with the first class of a bucket and the two right before it there, as far as the filters let
+    it. Buckets are sorted and streamed: a task holds three rows of a bucket, however large."""
+    rows = classes.filter("n >= 4").select(F.explode("buckets").alias("bucket"), F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line", "node", "n", "sig")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "none", "doc_id", "key", "line").select("bucket", "node", "n", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            if not b.num_rows:
+                continue
+            done = len(held[0])
+            bucket, node, n, sig = (np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, b.columns, strict=True))
+            at = np.arange(len(bucket))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], bucket[1:] != bucket[:-1])), at, 0))
+            found = []
+            for before in (start, np.where(at - 1 > start, at - 1, at), np.where(at - 2 > start, at - 2, at)):
+                i = np.flatnonzero((before < at) & (at >= done))
+                j = before[i]
+                least = np.ceil(PERCENT * (n[i] + n[j]) / (100 + PERCENT) - 1e-9).astype(np.int64)
+                ok = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * least)
+                found.append((node[j[ok]], node[i[ok]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+            keep = sorted({int(start[-1]), max(int(start[-1]), len(at) - 2), len(at) - 1})
+            held = [x[keep] for x in (bucket, node, n, sig)]
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def matched_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node of the classes that are linked to an earlier one, staged."""
+    tried = stage(leaders(classes), "lines-leaders")
+    alike = verify(tried, classes, docs)
+    settled = stage(alike.select(F.col("b").alias("node")).distinct(), "lines-settled")
+    release(tried, alike)
+    rows = classes.filter("n >= 4").join(settled.withColumn("done", F.lit(True)), "node", "left").select(F.posexplode("prefix").alias("place", "token"), "node", "doc_id", "n", "sig", F.coalesce("done", F.lit(False)).alias("done"))
+    # Only a class that isn't settled has to be answered, and only an earlier one can answer it.
+    open_later = "case when a.doc_id <=> b.doc_id then not (a.done and b.done) when b.doc_id is null or a.doc_id < b.doc_id then not b.done else not a.done end"
+    near = rows.alias("a").join(rows.alias("b"), F.expr(f"{_by_prefix('a', 'b')} and ({open_later})"))
+    pairs = stage(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "lines-pairs")
+    links = verify(pairs, classes, docs)
+    place = classes.select("node", _first().alias("at"))
+    ended = links.join(place.select(F.col("node").alias("a"), F.col("at").alias("pa")), "a").join(place.select(F.col("node").alias("b"), F.col("at").alias("pb")), "b")
+    answered = ended.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("node"))
+    out = stage(settled.unionByName(answered).distinct(), "lines-matched")
+    release(settled, pairs, links)
+    return out
 
 
 def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``line_sets``, and a row for each class: its first line, in order of (doc_id, row, line)."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
+    """doc_id, key, line, h1, h2 of the lines, and a row for each class: node, its first line in order of (doc_id, row,
+    line), the number of its ``places`` and what the join needs."""
     rest = ("n", "sig", "buckets", "prefix")
-    sets = stage(line_sets(docs, rarity(docs)), "lines-rows")
-    grouped = sets.filter("line >= 0").drop("words").groupBy("h1", "h2").agg(F.min(first).alias("at"), *(F.first(c).alias(c) for c in rest))
-    return sets, stage(grouped.select("h1", "h2", "at.doc_id", "at.key", "at.line", *rest), "lines-classes")
+    rows = stage(line_sets(docs, rarity(docs)), "lines-rows")
+    grouped = rows.filter("line >= 0").groupBy("h1", "h2").agg(F.min(_first()).alias("at"), F.max(_first()).alias("last"), *(F.first(c).alias(c) for c in rest))
+    classes = grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "at.doc_id", "at.key", "at.line", (F.col("at") != F.col("last")).alias("copied"), *rest)
+    return rows, stage(classes, "lines-classes")
 
 
-def class_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: every pair of different classes (by h1) that are alike, once each, whether settled for removal or not. By the
+def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: every pair of different classes that are alike, once each, whether settled for removal or not. By the
     prefix join alone, so it costs what its pairs cost: a family of k like classes has k * (k - 1) / 2 of them."""
-    rows = classes.filter("n >= 4").select(F.posexplode("prefix").alias("place", "token"), "h1", "n", "sig")
-    overlap = f"ceil({PERCENT} * (a.n + b.n) / {100 + PERCENT}.0D - 1e-9)"
-    near = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and a.h1 < b.h1 and least(a.n - a.place, b.n - b.place) >= {overlap} and {_possible('a', 'b')}"))
-    return verify(stage(near.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct(), "lines-all-pairs"), sets)
+    rows = classes.filter("n >= 4").select(F.posexplode("prefix").alias("place", "token"), "node", "n", "sig")
+    near = rows.alias("a").join(rows.alias("b"), F.expr(_by_prefix("a", "b")))
+    return verify(stage(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "lines-all-pairs"), classes, docs)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_lines (with a word), n_links (lines whose set is alike to some earlier, different set: not the number of links, which is ``class_links``), removed (line numbers):
     a row for each text."""
     docs = docs.select("doc_id", "text")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    sets, classes = class_sets(docs)
-    matched = stage(matched_classes(sets, classes), "lines-matched")
-    verdict = classes.join(matched.withColumn("linked", F.lit(True)), "h1", "left").select("h1", "h2", first.alias("at"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    judged = sets.select("doc_id", "key", "line", "h1", "h2").join(verdict, ["h1", "h2"], "left")
-    gone = (F.col("line") >= 0) & (F.col("linked") | (first != F.col("at")))
-    counted = judged.groupBy("doc_id", "key").agg(F.count_if(F.col("line") >= 0).alias("n_lines"), F.count_if((F.col("line") >= 0) & F.col("linked")).alias("n_links"), F.collect_set(F.when(gone, F.col("line"))).alias("removed"))
+    rows, classes = class_sets(docs)
+    matched = matched_classes(docs, classes)
+    verdict = classes.join(matched.withColumn("linked", F.lit(True)), "node", "left").filter("copied or linked").select("h1", "h2", _first().alias("at"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    verdict = stage(verdict, "lines-verdict")
+    lines = stage(rows.select("doc_id", "key", "line", "h1", "h2"), "lines-places")
+    release(rows, classes, matched)
+    # Lines of classes with one place and no link need no verdict.
+    judged = lines.join(verdict, ["h1", "h2"], "left")
+    linked = (F.col("line") >= 0) & F.coalesce("linked", F.lit(False))
+    gone = linked | ((F.col("line") >= 0) & F.col("at").isNotNull() & (_first() != F.col("at")))
+    counted = judged.groupBy("doc_id", "key").agg(F.count_if(F.col("line") >= 0).alias("n_lines"), F.count_if(linked).alias("n_links"), F.collect_set(F.when(gone, F.col("line"))).alias("removed"))
     return counted.withColumn("removed", F.array_sort("removed"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines of ``text``."""
-    gone = stage(removed_lines(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"), F.col("removed").alias("__removed")), "lines-removed")
-    joined = docs.withColumn("__key", row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")), "left")
+    gone = stage(removed_lines(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "removed"), "lines-removed")
+    joined = with_row(docs, doc_id=F.col("doc_id"), key=row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -272,8 +301,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(cut("text", "__removed"))
-    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(cut("row.text", "removed"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op3_lines(spark, sf_dir) -> DataFrame:
@@ -286,22 +315,22 @@ def op3_lines(spark, sf_dir) -> DataFrame:
 def op3_links(spark, sf_dir) -> DataFrame:
     """The similarity join whole: every pair of alike, different lines, each by the first place of its set, the earlier first."""
     small_batches(spark)
-    sets, classes = class_sets(documents(spark, sf_dir).select("doc_id", "text"))
-    at = classes.select("h1", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line").alias("at"))
-    left, right = (at.select(F.col("h1").alias(i), F.col("at").alias(f"p{i}")) for i in ("a", "b"))
-    ends = class_links(sets, classes).join(left, "a").join(right, "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    _, classes = class_sets(docs)
+    left, right = (classes.select(F.col("node").alias(i), _first().alias(f"p{i}")) for i in ("a", "b"))
+    ends = class_links(docs, classes).join(left, "a").join(right, "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
     return ends.select(F.col("x.doc_id").alias("doc_a"), F.col("x.line").alias("line_a"), F.col("y.doc_id").alias("doc_b"), F.col("y.line").alias("line_b"))
 
 
 def op3_members(spark, sf_dir) -> DataFrame:
     """Every line with a word, and the first place of its set: what ``op3_links`` names."""
     small_batches(spark)
-    sets, classes = class_sets(documents(spark, sf_dir).select("doc_id", "text"))
+    rows, classes = class_sets(documents(spark, sf_dir).select("doc_id", "text"))
     place = classes.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
-    return sets.filter("line >= 0").select("doc_id", "line", "h1", "h2").join(place, ["h1", "h2"]).select("doc_id", "line", "first_doc", "first_line")
+    return rows.filter("line >= 0").select("doc_id", "line", "h1", "h2").join(place, ["h1", "h2"]).select("doc_id", "line", "first_doc", "first_line")
 
 
 def stage_lines(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """All documents, without later matches among their lines; their columns."""
     small_batches(spark)
-    return deduplicate(docs).select(*docs.columns)
+    return deduplicate(docs)

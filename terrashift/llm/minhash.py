@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, documents, lower_az, row_key, release, small_batches, stage, with_row, words_of
+from .common import documents, release, row_key, small_batches, stage, with_row
+from .words import Words
 
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
@@ -48,27 +49,35 @@ _B = _seeds.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of k words; of the whole sequence where it is shorter."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    k = min(k, n)
-    h = np.zeros(n - k + 1, np.uint64)
+    """64-bit hashes of the runs of k words."""
+    h = np.zeros(max(len(words) - k + 1, 0), np.uint64)
     for i in range(k):
-        h = (h ^ words[i : n - k + 1 + i]) * _MIX1
+        h = (h ^ words[i : len(words) - k + 1 + i]) * _MIX1
         h ^= h >> np.uint64(29)
     # The length keeps a short text apart from a shingle of the same words in a longer one.
-    return np.unique((h + np.uint64(k)) * _MIX2)
+    return (h + np.uint64(k)) * _MIX2
+
+
+def shingle_sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text; of one with fewer words the whole sequence as one."""
+    w = Words(texts)
+    sizes = np.bincount(w.text, minlength=len(texts))
+    starts = np.cumsum(sizes) - sizes
+    all_k = shingle_hashes(w.hashes, k)
+    out = []
+    for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        out.append(np.unique(all_k[a : a + n - k + 1]) if n >= k else shingle_hashes(w.hashes[a : a + n], n) if n else np.empty(0, np.uint64))
+    return out
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Least values of HASHES linear permutations of 32 bits of the shingles' hashes."""
     out = np.full(HASHES, np.uint32(0xFFFFFFFF))
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 1024):
-        part = np.multiply.outer(x[i : i + 1024], _A)
-        part += _B
-        np.minimum(out, part.min(0), out=out)
+    for i in range(0, len(x), 4096):
+        part = _A[:, None] * x[None, i : i + 4096]
+        part += _B[:, None]
+        np.minimum(out, part.min(1), out=out)
     return out
 
 
@@ -100,12 +109,9 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, key, h1, h2 (hash of the set), n_shingles, sig (binary; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
         for b in batches:
             h1, h2, sizes, sigs = [], [], [], []
-            for text in b.column("text").to_pylist():
-                words = words_of(lower_az(text)) if text else []
-                s = shingle_hashes(np.fromiter(map(vocabulary.__getitem__, words), np.uint64, len(words)), k)
+            for s in shingle_sets_of(b.column("text"), k):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & (1 << 64) - 1) - (1 << 63))
@@ -163,15 +169,11 @@ def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
         shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
         for b in batches:
             if shared is not None:
                 bit = b.column("key").to_numpy() % FILTER_BITS
                 b = b.take(pa.array(np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)))
-            out = []
-            for text in b.column("text").to_pylist():
-                words = words_of(lower_az(text)) if text else []
-                out.append(shingle_hashes(np.fromiter(map(vocabulary.__getitem__, words), np.uint64, len(words)), k).tobytes())
+            out = [s.tobytes() for s in shingle_sets_of(b.column("text"), k)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(out, pa.binary())], ["doc_id", "key", "set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
