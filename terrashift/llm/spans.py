@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, small_batches, stage, words_of
+from .common import documents, row_key, small_batches, stage, with_row, words_of
 
 SENTENCES, WORDS = 2, 12
 #: A passage's length: so long a sentence is a span without others.
@@ -123,29 +123,35 @@ def remove_sentences(text: str | None, gone: list[int] | None) -> str | None:
     return "".join(text[a:b] for i, (a, b) in enumerate(sentences(text)) if i not in out).rstrip("\x20\x09\x0a\x0b\x0c\x0d")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated spans taken out of ``text``, and ``__sentences`` with the positions taken out."""
-    gone = stage(covered(docs, LONE), "spans-covered")
-    keyed = docs.withColumn("__key", row_key())
-    joined = keyed.join(gone.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"), F.col("sentences").alias("__sentences")), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")), "left")
+def _without(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``text`` without the repeated spans, ``sentences``: the positions taken out."""
+    gone = stage(covered(docs, LONE), "spans-covered").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "sentences")
+    rows = with_row(docs, doc_id=F.col("doc_id"), key=row_key())
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([remove_sentences(t, None if g is None else [int(x) for x in g]) for t, g in zip(text, gone, strict=True)], dtype=object)
 
-    changed = F.when(F.col("__sentences").isNull(), F.col("text")).otherwise(cut("text", "__sentences"))
-    return joined.select(*(changed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__sentences")
+    changed = F.when(F.col("sentences").isNull(), F.col("row.text")).otherwise(cut("row.text", "sentences"))
+    return joined.select("row", changed.alias("text"), "sentences")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated spans taken out of ``text``."""
+    return _without(docs).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_spans(spark, sf_dir) -> DataFrame:
     """Every document: how many sentences went, their positions, and the size and digest of what stays."""
     small_batches(spark)
-    out = deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
+    out = _without(documents(spark, sf_dir).select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.coalesce(F.size(F.when(F.col("__sentences").isNotNull(), F.col("__sentences"))), F.lit(0)).cast("long").alias("n_removed"), F.array_sort("__sentences").alias("removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    n = F.coalesce(F.size(F.when(F.col("sentences").isNotNull(), F.col("sentences"))), F.lit(0)).cast("long")
+    return out.select("row.doc_id", n.alias("n_removed"), F.array_sort("sentences").alias("removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def stage_spans(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """All documents, without the later places of repeated spans; their columns."""
     small_batches(spark)
-    return deduplicate(docs).select(*docs.columns)
+    return deduplicate(docs)

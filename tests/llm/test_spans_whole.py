@@ -36,10 +36,9 @@ def test_equals_force(spark):
     for i, t in enumerate(texts):
         parts = [tuple(WORD.findall(t[a:b])) for a, b in spans.sentences(t)]
         n, long = len(parts), lambda a, b: b - a >= spans.SENTENCES and sum(map(len, parts[a:b])) >= spans.WORDS
-        runs = {(a, a + 1) for a in range(n) if len(parts[a]) >= spans.LONE}
-        runs |= {next(((a, b) for b in range(a + 1, n + 1) if long(a, b)), None) for a in range(n)}
-        runs |= {next(((a, b) for a in range(b, -1, -1) if long(a, b)), None) for b in range(1, n + 1)}
-        for a, b in runs - {None}:
+        # Every run of several sentences that is long enough, not the shortest alone.
+        runs = {(a, b) for a in range(n) for b in range(a + 1, n + 1) if long(a, b) or b == a + 1 and len(parts[a]) >= spans.LONE}
+        for a, b in runs:
             places[tuple(parts[a:b])].add((i, a, b))
     gone = defaultdict(set)
     for found in places.values():
