@@ -1,13 +1,14 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum covariance determinant.
 
-DataFrame functions only. Each language and source has its own centre and scatter: a deterministic start (medians and
-median absolute deviations), then concentration steps: the ``share`` of rows nearest by Mahalanobis distance gives the
-next mean and covariance, which never raises the determinant. Quantiles are mergeable sketches and means are sums, so a
-group that holds a third of all rows needs no more memory than a small one.
+DataFrame functions only. Each language and source has its own centre and scatter. Two deterministic starts (medians with
+median absolute deviations, without correlations and with those of bounded scores) each take concentration steps: the
+``share`` of rows nearest by Mahalanobis distance gives the next mean and covariance, which never raises the determinant,
+until it no longer falls; the start that ends at the lesser determinant counts. Quantiles are mergeable sketches and
+means are sums, so a group that holds a third of all rows needs no more memory than a small one.
 
 Defined results: a null or empty text has no words and fails the base rules; a null lang or source is a group of its
-own kind; groups under ``MIN_GROUP`` rows are judged by their language's estimate, and by none where that is as small;
-equal rows get equal verdicts.
+own kind; a group under ``MIN_GROUP`` rows is judged by the estimate over all rows of its language, and where that is
+as small by the one over the whole corpus, so every row has a verdict; equal rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, release, stage, with_row
 
 WORDS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SHARE = 0.75
-STEPS = 4
+#: Concentration steps at most, and the fall of a log determinant that counts as none.
+STEPS, SETTLED = 8, 1e-3
 MIN_GROUP = 100
 TAIL = 1e-7
 SMALL_SET = 48
@@ -108,13 +110,15 @@ def consistency(share: float, df: int) -> float:
 
 
 def with_precision(moments: DataFrame, group: list[str], p: int) -> DataFrame:
-    """Covariances ``c0_0…`` replaced by the entries ``q0_0…`` of their inverse, by sweeping each pivot in turn."""
+    """Covariances ``c0_0…`` replaced by the entries ``q0_0…`` of their inverse, by sweeping each pivot in turn, and by
+    ``logdet``: the determinant is the product of the pivots."""
     at = lambda i, j: F.col(f"c{max(i, j)}_{min(i, j)}")
     entries = [(i, j) for i in range(p) for j in range(i + 1)]
-    keep = [*group, *(f"m{i}" for i in range(p))]
+    keep = [*group, *(f"m{i}" for i in range(p)), "logdet"]
+    moments = moments.withColumn("logdet", F.lit(0.0))
     for k in range(p):
         swept = {(i, j): -1 / at(k, k) if i == j == k else at(i, j) / at(k, k) if k in (i, j) else at(i, j) - at(i, k) * at(j, k) / at(k, k) for i, j in entries}
-        moments = moments.select(*keep, *(v.alias(f"c{i}_{j}") for (i, j), v in swept.items()))
+        moments = moments.select(*keep[:-1], (F.col("logdet") + F.log(at(k, k))).alias("logdet"), *(v.alias(f"c{i}_{j}") for (i, j), v in swept.items()))
     return moments.select(*keep, *((-at(i, j)).alias(f"q{i}_{j}") for i, j in entries))
 
 
@@ -123,61 +127,88 @@ def _moments(x: list[str]) -> list[Column]:
     return out + [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(len(x)) for j in range(i + 1)]
 
 
+def _same(group: list[str]) -> Column:
+    on = F.col(f"a.{group[0]}").eqNullSafe(F.col(f"b.{group[0]}"))
+    for g in group[1:]:
+        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return on
+
+
+def _starts(rows: DataFrame, group: list[str], names: list[str], floor: tuple[float, ...]) -> DataFrame:
+    """``start`` 0 and 1 of each group, with means and covariances."""
+    p = len(names)
+    med = rows.groupBy(*group).agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(names)))
+    off = rows.alias("a").join(med.alias("b"), _same(group)).select(*(F.col(f"a.{g}") for g in group), *(F.col(f"b.m{i}") for i in range(p)), *((F.col(f"a.{n}") - F.col(f"b.m{i}")).alias(n) for i, n in enumerate(names)))
+    # A spread of nothing makes every score of its feature nothing or the bound: the least spread is a tiny one.
+    scale = stage(off.groupBy(*group).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(n)), 0.5, 1000), F.lit(max(floor[i], 1e-6))).alias(f"s{i}") for i, n in enumerate(names))), "mcd-scale")
+    scored = off.select(*group, *names).alias("a").join(scale.alias("b"), _same(group)).select(*(F.col(f"a.{g}") for g in group), *(F.tanh(F.col(f"a.{n}") / F.col(f"b.s{i}")).alias(n) for i, n in enumerate(names)))
+    pairs = [(i, j) for i in range(p) for j in range(i)]
+    # A feature without spread is related to none.
+    related = scored.groupBy(*group).agg(*(F.coalesce(F.try_divide(F.covar_pop(names[i], names[j]), F.stddev_pop(names[i]) * F.stddev_pop(names[j])), F.lit(0.0)).alias(f"r{i}_{j}") for i, j in pairs))
+    both = scale.alias("a").join(related.alias("b"), _same(group)).select("a.*", *(F.col(f"b.r{i}_{j}") for i, j in pairs), F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
+    # Correlations are drawn in a little, so that the scatter has an inverse.
+    cov = {(i, j): F.pow(f"s{i}", F.lit(2.0)) + floor[i] ** 2 if i == j else 0.95 * F.col("start") * F.col(f"r{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") for i in range(p) for j in range(i + 1)}
+    return both.select(*group, "start", *(f"m{i}" for i in range(p)), *(v.alias(f"c{i}_{j}") for (i, j), v in cov.items()))
+
+
 def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row per group: means ``m0…`` and inverse covariances ``q0_0…`` (scaled to be consistent, floors added)."""
+    """One row per group: means ``m0…``, inverse covariances ``q0_0…`` (scaled to be consistent, floors added), ``logdet``."""
     p, names = len(x), list(x)
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    med = rows.groupBy(*group).agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(names)))
-    joined = rows.alias("a").join(med.alias("b"), on).select("a.*", *(F.col(f"b.m{i}") for i in range(p)))
-    mad = joined.groupBy(*group).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(p)), *(F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, n in enumerate(names)))
-    spread = {f"c{i}_{j}": (F.pow(1.4826 * F.col(f"s{i}"), 2) + floor[i] ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)}
-    now = stage(with_precision(mad.select(*group, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in spread.items())), group, p), "mcd-start")
-    for _ in range(steps):
+    each, scale = [*group, "start"], consistency(share, p)
+    now = stage(with_precision(_starts(rows, group, names, floor), each, p), "mcd-start")
+    for step in range(steps):
         near = with_distance(rows, now, group, x)
-        cut = near.groupBy(*group).agg(F.percentile_approx("d2", share, 1000).alias("cut"))
-        kept = near.alias("a").join(cut.alias("b"), on).filter("a.d2 <= b.cut").select("a.*")
-        got = kept.groupBy(*group).agg(*_moments(names))
-        scale = consistency(share, p)
+        cut = near.groupBy(*each).agg(F.percentile_approx("d2", share, 1000).alias("cut"))
+        got = near.alias("a").join(cut.alias("b"), _same(each)).filter("a.d2 <= b.cut").select("a.*").groupBy(*each).agg(*_moments(names))
         cov = {f"c{i}_{j}": F.col(f"c{i}_{j}") * scale + (floor[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-        now = stage(with_precision(got.select(*group, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in cov.items())), group, p), "mcd-step")
-    return now
+        new = stage(with_precision(got.select(*each, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in cov.items())), each, p), "mcd-step")
+        fall = new.alias("a").join(now.alias("b"), _same(each)).agg(F.max(F.col("b.logdet") - F.col("a.logdet"))).first()[0]
+        release(now)
+        now = new
+        # The first step comes from another kind of scatter.
+        if step and (fall is None or fall < SETTLED):
+            break
+    values = [c for c in now.columns if c not in each]
+    return now.groupBy(*group).agg(F.min_by(F.struct(*values), F.struct("logdet", "start")).alias("b")).select(*group, "b.*")
 
 
 def with_distance(rows: DataFrame, estimates: DataFrame, group: list[str], x: tuple[str, ...] = FEATURES) -> DataFrame:
-    """``rows`` with ``d2``, null where the group has no estimate."""
+    """``rows`` with ``d2``, for each estimate of their group; null where there is none."""
     p = len(x)
-    on = F.col(f"a.{group[0]}").eqNullSafe(F.col(f"b.{group[0]}"))
-    for g in group[1:]:
-        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    more = ["b.start"] if "start" in estimates.columns else []
     off = [F.col(f"a.{n}") - F.col(f"b.m{i}") for i, n in enumerate(x)]
     d2 = F.lit(0.0)
     for i in range(p):
         for j in range(i + 1):
             d2 = d2 + off[i] * off[j] * F.col(f"b.q{i}_{j}") * (1 if i == j else 2)
-    return rows.alias("a").join(estimates.alias("b"), on, "left").select("a.*", d2.alias("d2"))
+    return rows.alias("a").join(estimates.alias("b"), _same(group), "left").select("a.*", *more, d2.alias("d2"))
+
+
+def _levels(passed: DataFrame) -> DataFrame:
+    """lang, source, ``grp`` (whose estimate judges the group's rows) and ``fit`` (the estimates they take part in)."""
+    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.min("n").alias("least"))
+    small = langs.agg(F.coalesce(F.min("lang_n"), F.lit(0)) < MIN_GROUP).first()[0]
+    own, lang, every = (F.to_json(F.struct(*c)) for c in ((F.lit("source").alias("level"), "lang", "source"), (F.lit("lang").alias("level"), "lang"), (F.lit("all").alias("level"),)))
+    own_ok, lang_ok = F.col("n") >= MIN_GROUP, F.col("lang_n") >= MIN_GROUP
+    both = sizes.alias("a").join(langs.alias("b"), _same(["lang"])).select("a.*", "b.lang_n", "b.least")
+    fit = F.array(F.when(own_ok, own), F.when(lang_ok & (F.col("least") < MIN_GROUP), lang), every if small else F.lit(None).cast("string"))
+    return both.select("lang", "source", F.when(own_ok, own).when(lang_ok, lang).otherwise(every).alias("grp"), F.array_compact(fit).alias("fit"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept for every row of ``docs``."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = stage(statistics(docs).withColumn("base_failed", base), "quality-counts")
-    rows = counted.select("*", *features())
-    passed = rows.filter(~F.col("base_failed"))
-    sizes = passed.groupBy("lang", "source").count()
-    # A small group joins its language's small ones: its source is then null in the key.
-    own = F.col("b.count") >= MIN_GROUP
-    on = F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))
-    keyed = passed.alias("a").join(sizes.alias("b"), on, "left").select("a.*", F.struct(F.col("a.lang").alias("lang"), F.when(own, F.col("a.source")).alias("source"), own.alias("own")).alias("g"))
-    keyed = keyed.select("*", F.to_json("g").alias("grp"))
-    fit = keyed.select("grp", *FEATURES)
-    large = fit.groupBy("grp").count().filter(F.col("count") >= MIN_GROUP).select("grp")
-    estimates = robust_estimates(fit.join(large, "grp"), ["grp"])
+    passed = counted.filter(~F.col("base_failed")).select("*", *features())
+    levels = stage(_levels(counted.filter(~F.col("base_failed"))), "quality-levels")
+    keyed = passed.alias("a").join(levels.alias("b"), _same(["lang", "source"])).select("a.*", "b.grp", "b.fit")
+    fit = stage(keyed.select(F.explode("fit").alias("grp"), *FEATURES), "quality-fit")
+    estimates = robust_estimates(fit, ["grp"])
+    release(fit)
     judged = with_distance(keyed, estimates, ["grp"])
     limit = _chi2_quantile(1 - TAIL, len(FEATURES))
-    verdict = F.coalesce(F.col("d2") <= limit, F.lit(True))
+    verdict = F.col("d2") <= limit
     names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*names, verdict.alias("kept")).unionByName(counted.filter("base_failed").select(*names, F.lit(False).alias("kept")))
 
@@ -189,6 +220,6 @@ def op8_quality(spark, sf_dir) -> DataFrame:
 
 def stage_quality(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Documents that pass; their columns."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    verdict = judge(keyed.withColumn("doc_id", F.col("__row"))).filter("kept").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(verdict, "__row", "left_semi").select(*docs.columns)
+    key = F.xxhash64("doc_id", "text", "lang", "source")
+    out = stage(judge(docs.withColumn("doc_id", key)).filter(~F.col("kept")).select("doc_id").distinct(), "quality-rejected")
+    return with_row(docs, key=key).join(out.withColumnRenamed("doc_id", "key"), "key", "left_anti").select("row.*")
