@@ -1,7 +1,8 @@
 """Media columns: TIFF files in a binary column, one row per page.
 
 ``read_tiff`` walks the chain of image directories, decodes stored, PackBits, LZW and deflate strips or tiles,
-undoes the horizontal (8, 16 and 32 bit) and floating-point predictors and yields a row for each page.
+undoes the horizontal (8, 16 and 32 bit) and floating-point predictors and yields a row for each page. Samples of 1, 2
+and 4 bits come out as a byte each; a reversed order of bits (fill order 2) is undone.
 ``write_tiff`` stores bytes as an 8-bit grey file of several pages.
 
 Defined results: null or empty media give no page; a broken file gives the pages before the fault and then one row
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches
+from .common import documents, small_batches, with_row
 
 STORED, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 # Fixed values of the format: bytes of a field by its type.
@@ -186,6 +187,15 @@ def decompress(data: bytes, compression: int, size: int) -> bytes:
     return out[:size]
 
 
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def unpack_samples(a: np.ndarray, bits: int, samples: int) -> np.ndarray:
+    """Rows of bytes with several samples each, the first in the highest bits, as rows of a byte a sample."""
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    return ((a[:, :, None] >> shifts) & np.uint8((1 << bits) - 1)).reshape(len(a), -1)[:, :samples]
+
+
 def undo_predictor(a: np.ndarray, predictor: int, samples: int, bits: int, order: str) -> np.ndarray:
     """``a``: rows of bytes as stored. Returns rows of bytes, samples in the file's byte order."""
     if predictor == 1:
@@ -234,9 +244,10 @@ def decode_page(data: bytes, order: str, f: dict[int, list]) -> dict:
     width, height = one(256, 0), one(257, 0)
     samples, bits = one(277, 1), one(258, 1)
     compression, predictor, planar = one(259, 1), one(317, 1), one(284, 1)
-    if bits % 8 or not width or not height:
+    small = bits in (1, 2, 4)
+    if (bits % 8 or not bits) and not small or not width or not height:
         raise ValueError(f"{width} x {height} with {bits} bits a sample")
-    size, planes = bits // 8, samples if planar == 2 else 1
+    size, planes = max(bits // 8, 1), samples if planar == 2 else 1
     inner = samples // planes
     tiled = 322 in f
     if tiled:
@@ -253,8 +264,12 @@ def decode_page(data: bytes, order: str, f: dict[int, list]) -> dict:
         y, x = j // across * th, j % across * tw
         rows = th if tiled else min(th, height - y)
         raw = data[offsets[k] : offsets[k] + counts[k]]
-        a = np.frombuffer(decompress(raw, compression, rows * tw * inner * size), np.uint8).reshape(rows, -1)
+        if one(266, 1) == 2:
+            raw = raw.translate(_REVERSED)
+        a = np.frombuffer(decompress(raw, compression, rows * (-(-tw * inner * bits // 8))), np.uint8).reshape(rows, -1)
         a = undo_predictor(a, predictor, inner, bits, order)
+        if small:
+            a = unpack_samples(a, bits, tw * inner)
         h, w = min(rows, height - y), min(tw, width - x) * inner * size
         out[plane, y : y + h, x * inner * size : x * inner * size + w] = a[:h, :w]
     if planes > 1:
@@ -360,8 +375,8 @@ def read_tiff(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page of the files in ``media``: the other columns, then those of ``PAGE`` (a clashing name is replaced)."""
     taken = {media.lower(), *(n.lower() for n in PAGE.names)}
     keep = [c for c in df.columns if c.lower() not in taken]
-    paged = with_pages(df.select(*(F.col(f"`{c}`") for c in keep), F.col(media).alias("__media")), "__media", "__pages")
-    return paged.select(*(F.col(f"`{c}`") for c in keep), F.inline("__pages"))
+    paged = with_pages(with_row(df, media=F.col(f"`{media}`")))
+    return paged.select(*(F.col(f"row.`{c}`") for c in keep), F.inline("pages"))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:

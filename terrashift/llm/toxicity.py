@@ -11,7 +11,8 @@ is scored whole.
 
 Defined results: null and empty texts get the score of a text without features; with no labelled training row, or one
 label only, all scores are the training rows' share of label 1 (0 with none); repeated rows get equal scores; a doc_id
-with several labels counts as toxic when one of them is.
+with several labels counts as toxic when one of them is, and of its texts the least is learnt from; doc_id may be of any
+type. A text of any length is scored whole, in time proportional to it.
 """
 
 from __future__ import annotations
@@ -261,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, sample: int =
             rows = [np.array(buckets.of(decoder.words(t or "")), np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("order"), pa.array(rows, pa.binary())], ["toxic", "order", "features"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", F.col("toxic").cast("int").alias("toxic"), F.col("doc_id").cast("long").alias("order"))
+    # Of several texts of an id the least, and an order that every run shares: the model depends on nothing else.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("order"))
     got = texts.mapInArrow(run, "toxic int, order long, features binary").toArrow()
     order = np.argsort(got["order"].to_numpy(), kind="stable")
     rows = got["features"].to_pylist()

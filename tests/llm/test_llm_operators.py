@@ -90,6 +90,32 @@ def test_broken_tiff():
     assert "loops" in tiff.read_pages(bytes(loop))[-1]["error"]
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("reversed_bits", [False, True])
+@pytest.mark.parametrize("compression", [tiff.STORED, tiff.PACKBITS, tiff.LZW])
+def test_small_samples(bits, reversed_bits, compression):
+    import struct
+
+    r = random.Random(bits)
+    width, height = 13, 5
+    want = [[r.randrange(1 << bits) for _ in range(width)] for _ in range(height)]
+    rows = []
+    for row in want:
+        text = "".join(f"{v:0{bits}b}" for v in row)
+        text += "0" * (-len(text) % 8)
+        rows.append(bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)))
+    raw = b"".join(rows)
+    coded = {tiff.STORED: bytes, tiff.PACKBITS: tiff.packbits_encode, tiff.LZW: tiff.lzw_encode}[compression](raw)
+    if reversed_bits:
+        coded = bytes(int(f"{b:08b}"[::-1], 2) for b in coded)
+    fields = [(256, 4, width), (257, 4, height), (258, 3, bits), (259, 3, compression), (262, 3, 1), (266, 3, 1 + reversed_bits), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(coded))]
+    coded += b"\0" * (len(coded) % 2)
+    data = b"II" + struct.pack("<HI", 42, 8 + len(coded)) + coded + struct.pack("<H", len(fields))
+    data += b"".join(struct.pack("<HHI", t, k, 1) + struct.pack("<I" if k == 4 else "<HH", *([v] if k == 4 else [v, 0])) for t, k, v in fields) + struct.pack("<I", 0)
+    (page,) = tiff.read_pages(data)
+    assert page["error"] is None and list(page["pixels"]) == [v for row in want for v in row]
+
+
 def test_tiff_rows(spark, odd, empty):
     stored = tiff.store_texts(odd).withColumn("page", F.lit("clash"))
     back = defaultdict(bytes)
@@ -422,6 +448,40 @@ def test_mcd_against_numpy(spark):
     assert (d[900:] > limit).sum() == 0
 
 
+def test_concentration_never_raises_the_determinant(spark):
+    """Each step by plain numpy from the same start ends at the same estimate; the lesser determinant counts."""
+    r = np.random.default_rng(4)
+    a = np.array([[1, 0, 0, 0], [0.9, 0.3, 0, 0], [0.2, 0.5, 1, 0], [0, 0.1, 0.3, 2]])
+    x = np.vstack([r.normal(0, 1, (700, 4)) @ a.T, r.normal(9, 0.3, (150, 4))])
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, " + ", ".join(f"{n} double" for n in quality.FEATURES))
+    got = quality.robust_estimates(rows, ["g"], floor=(0.0,) * 4, steps=30).first()
+    med = np.median(x, 0)
+    s = 1.4826 * np.median(np.abs(x - med), 0)
+    rel = np.corrcoef(np.tanh((x - med) / s).T)
+    ends = []
+    for start in (0, 1):
+        mean, cov = med, np.where(np.eye(4, dtype=bool), np.outer(s, s), 0.95 * start * rel * np.outer(s, s))
+        dets = []
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[d <= np.quantile(d, quality.SHARE)]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality.consistency(quality.SHARE, 4)
+            dets.append(np.linalg.slogdet(cov)[1])
+        assert all(b <= a + 1e-9 for a, b in zip(dets, dets[1:], strict=False))
+        ends.append((dets[-1], mean))
+    assert got.logdet == pytest.approx(min(ends)[0], abs=0.02)
+    assert [got[f"m{i}"] for i in range(4)] == pytest.approx(list(min(ends, key=lambda e: e[0])[1]), abs=0.05)
+
+
+def test_small_groups_are_judged(spark):
+    """Of 20 rows a source by their language's estimate, of a small language by the corpus's."""
+    clean, junk = prose(5, 400, 80), ["### $$$ %%% " + re.sub(" ", "### ", t) for t in prose(6, 60, 80)]
+    rows = [(i, t, "en", "big") for i, t in enumerate(clean + junk[:20])] + [(1000 + i, t, "en", "tiny") for i, t in enumerate(junk[20:40])] + [(2000 + i, t, "xx", None) for i, t in enumerate(junk[40:])]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and not any(got[r[0]] for r in rows if "###" in r[1])
+    assert all(got[i] for i in range(400))
+
+
 def test_quality_verdicts(spark, odd, empty):
     clean = prose(5, 300, 80)
     junk = ["### $$$ %%% " + re.sub(" ", "### ", t) for t in prose(6, 20, 80)]
@@ -531,5 +591,4 @@ def test_extract(spark):
 
 def test_helpers():
     assert common.words_of("a\x1cb c d") == ["a\x1cb", "c d"] and common.words_of(None) == []
-    assert common.lower_az("ÀBC") == "Àbc" and common.lower_az("ABC") == "abc"
     assert zlib.crc32(b"7") % 10 in range(10)

@@ -45,6 +45,7 @@ def test_stages(spark, tmp_path):
     tokens = defaultdict(int)
     for p in pieces:
         tokens[p.doc_id] += p.length
+        assert len(p.ids) == 4 * p.length
     assert set(tokens) == set(after) and all(p.length <= packing.LENGTH for p in pieces)
     assert minhash.LEADS and spans.WORDS and docs.filter(F.col("text").isNull()).count() == 0
 
