@@ -1,35 +1,51 @@
-"""Threshold ladders and keyword classifiers. The thresholds are fixed values of the domain."""
+"""Threshold ladders and keyword classifiers. Thresholds, words and labels are fixed values of the domain."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stages of a permit, in the order in which they are tried, with the words that tell them.
-PERMIT_STAGES = {
-    "demolition": ["demo", "demolition", "tear down", "debris"],
-    "foundation": ["foundation", "footing", "excavat", "caisson"],
-    "framing": ["framing", "frame", "truss", "sheathing"],
-    "completion": ["certificate of occupancy", "final", "c.o."],
-    "new_construction": ["new construction", "new residence", "single family", "rebuild"],
-}
-STAGE_CONFIDENCE = {"completion": "high", "framing": "high", "foundation": "medium", "demolition": "medium"}
-ALLOWED_TRANSITIONS = [("cleared", "foundation"), ("foundation", "framing"), ("framing", "complete"), ("destroyed", "cleared")]
-DAMAGE_CLASSES = ["Destroyed", "Damaged", "Unaffected"]
+# Least dNBR of each burn severity.
+BURN_SEVERITY = [(0.66, "high_severity"), (0.44, "moderate_high_severity"), (0.27, "moderate_low_severity"), (0.1, "low_severity")]
+
+# Stages of a permit in the order in which they are tried, with the words that tell them.
+PERMIT_STAGES = [
+    ("cleared_lot", ["demolition", "demo", "tear down"]),
+    ("foundation_framing", ["foundation", "footing", "slab"]),
+    ("structure_substantial", ["framing", "structural", "rough"]),
+    ("rebuild_complete", ["certificate of occupancy", "coo", "final", "c of o"]),
+    ("rebuild_start", ["new dwelling", "new sfr", "new single", "new residence", "rebuild"]),
+]
+
+# Confidence of a permit's stage; any other is low.
+STAGE_CONFIDENCE = [
+    ("high", ["rebuild_complete", "structure_substantial"]),
+    ("medium", ["foundation_framing", "cleared_lot"]),
+    ("low", ["rebuild_start"]),
+]
+
+# The stages that may follow a stage.
+VALID_TRANSITIONS = [
+    ("destroyed", ["cleared_lot", "foundation_framing"]),
+    ("cleared_lot", ["cleared_lot", "foundation_framing"]),
+    ("foundation_framing", ["foundation_framing", "structure_substantial"]),
+    ("structure_substantial", ["structure_substantial", "rebuild_complete"]),
+    ("rebuild_complete", ["rebuild_complete"]),
+]
 
 
 def burn_severity(dnbr: Column) -> Column:
     """A null difference counts as unburned."""
-    steps = ((0.66, "high"), (0.44, "moderate_high"), (0.27, "moderate_low"), (0.1, "low"))
-    out = F.when(dnbr >= steps[0][0], steps[0][1])
-    for low, name in steps[1:]:
+    (low, name), *rest = BURN_SEVERITY
+    out = F.when(dnbr >= low, name)
+    for low, name in rest:
         out = out.when(dnbr >= low, name)
     return out.otherwise("unburned")
 
 
 def sar_change(db: Column) -> Column:
     """Only null reaches unknown."""
-    return F.when(db > -2, "no_change").when(db.between(-4, -2), "moderate").when(db < -4, "severe").otherwise("unknown")
+    return F.when(db > -2.0, "minimal_change").when(db.between(-4.0, -2.0), "moderate_loss").when(db < -4.0, "severe_loss").otherwise("unknown")
 
 
 def pixel_confidence(n: Column) -> Column:
@@ -39,18 +55,15 @@ def pixel_confidence(n: Column) -> Column:
 def permit_stage(description: Column) -> Column:
     """First stage one of whose words is in the lower-case description; null is unknown."""
     low, out = F.lower(description), F.when(description.isNull(), "unknown")
-    for stage, words in PERMIT_STAGES.items():
-        hit = low.contains(words[0])
-        for w in words[1:]:
-            hit = hit | low.contains(w)
-        out = out.when(hit, stage)
+    for stage, words in PERMIT_STAGES:
+        out = out.when(low.rlike("|".join(words)), stage)
     return out.otherwise("other")
 
 
 def stage_confidence(stage: Column) -> Column:
-    out = None
-    for name, level in STAGE_CONFIDENCE.items():
-        out = F.when(stage == name, level) if out is None else out.when(stage == name, level)
+    out = F.when(stage.isNull(), "low")
+    for level, stages in STAGE_CONFIDENCE:
+        out = out.when(stage.isin(stages), level)
     return out.otherwise("low")
 
 
@@ -58,18 +71,37 @@ def recovery_status(months: Column) -> Column:
     return F.when(months.isNull(), "Never").when(months < 18, "Early").otherwise("Late")
 
 
-def damage_tree(coherence: Column, sar_db: Column, dnbr: Column, ndvi_change: Column) -> Column:
-    """Ordered thresholds over four signals."""
+def damage_tree(swir: Column, dnbr: Column, vv_change_db: Column, tir_anomaly: Column) -> Column:
+    """Fire exposure by the optical signals, structural loss by radar, thermal anomaly where radar loss is moderate."""
     return (
-        F.when((coherence < 0.4) & (sar_db < -4) & (dnbr > 0.44), "Destroyed")
-        .when((coherence < 0.5) & ((sar_db < -3) | (dnbr > 0.27)), "Damaged")
-        .when((ndvi_change < -0.2) & (coherence >= 0.5), "Vegetation")
-        .otherwise("Unaffected")
+        F.when((swir < 0.15) & (dnbr < 0.10), "survived_no_fire")
+        .when(vv_change_db > -2.0, "survived_fire_exposed")
+        .when(vv_change_db <= -4.0, "total_loss")
+        .when((tir_anomaly >= 1.5) & (swir >= 0.25), "total_loss")
+        .otherwise("partial_damage")
     )
 
 
+def damage_confidence(swir: Column, damage: Column, vv_change_db: Column) -> Column:
+    """How sure the tree's class is."""
+    strong = (damage == "total_loss") & (vv_change_db <= -4.0) & (swir >= 0.30)
+    return F.when((damage == "survived_no_fire") | strong, "high").when(damage.isin("survived_fire_exposed", "total_loss"), "medium").otherwise("low")
+
+
 def rebuild_stage(delta_db: Column) -> Column:
-    return F.when(delta_db < -4, "cleared").when(delta_db < -1, "foundation").when(delta_db < 1, "framing").when(delta_db.isNotNull(), "complete")
+    """Stage by the difference from the baseline; a cleared lot scatters less than rubble does."""
+    return (
+        F.when(delta_db < -8.0, "cleared_lot").when(delta_db < -6.0, "destroyed").when(delta_db < -4.0, "foundation_framing")
+        .when(delta_db <= -1.5, "structure_substantial").when(delta_db > -1.5, "rebuild_complete")
+    )
+
+
+def valid_step(before: Column, stage: Column) -> Column:
+    """Whether a stage may follow the one before; the first may be any."""
+    out = before.isNull()
+    for a, after in VALID_TRANSITIONS:
+        out = out | ((before == a) & stage.isin(after))
+    return out
 
 
 def severity_rank(condition: Column) -> Column:

@@ -34,6 +34,16 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a - b, a + b), F.lit(0.0))
 
 
+def burn_difference(pre: Column, post: Column) -> Column:
+    """Burn ratio before less after: positive where something burned."""
+    return pre - post
+
+
+def temperature_anomaly(pre: Column, post: Column) -> Column:
+    """Temperature after less before."""
+    return post - pre
+
+
 def to_db(x: Column) -> Column:
     """10 log10 x; null for zero and below."""
     return F.when(x > 0, 10 * F.log10(x))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` with ``out``, 0, 1, 2 … in an order that no two rows share: a range sort, then the counts of its partitions
-    as offsets (one row for each partition)."""
+    as offsets (one row for each partition).
+
+    The sorted rows are written once with their places: counts and rows from two runs of the sort, planned with other
+    columns, may be cut into other partitions."""
     columns = df.columns
-    placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33))
+    placed = written(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)), "numbered")
     counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = placed.join(F.broadcast(counts.select("__p", before.alias("__o"))), "__p")

@@ -31,6 +31,28 @@ def class_scores(rows: DataFrame, predicted: str, actual: str, classes: list[int
     return scored.select("cls", "tp", "predicted", "actual", F.round("pr", 6).alias("precision"), F.round("re", 6).alias("recall"), F.round("f", 6).alias("f1"), F.round(F.avg("f").over(Window.partitionBy()), 6).alias("macro_f1"))
 
 
+def confusion(rows: DataFrame, predicted: str, actual: str, classes: list[int]) -> DataFrame:
+    """actual, predicted, n, share of the actual class; every pair of classes has a row."""
+    p, y = F.col(predicted), F.col(actual)
+    cells = [F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"), F.count_if((y == a) & (p == b)).alias("n"), F.count_if((y == a) & p.isin(classes)).alias("all")) for a in classes for b in classes]
+    table = rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    return table.select("actual", "predicted", "n", F.round(F.coalesce(F.try_divide("n", "all"), F.lit(0.0)), 6).alias("share"))
+
+
+def collapse_rare(rows: DataFrame, column: str, least: int, other: str) -> DataFrame:
+    """Categories with under ``least`` rows become one."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("__n"))
+    kept = F.when(F.col("__n") < least, F.lit(other)).otherwise(F.col(column))
+    return rows.join(counts, column).withColumn(column, kept).drop("__n")
+
+
+def one_hot(rows: DataFrame, column: str) -> DataFrame:
+    """``column`` as an array of 0 and 1 for its categories in order, without the first. The categories are a row of the
+    driver's plan: collapse rare ones first."""
+    categories = [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
+    return rows.withColumn(column, F.array(*((F.col(column) == c).cast("int") for c in categories[1:])))
+
+
 def _model(kind: str):
     return {
         "logistic": lambda: LogisticRegression(maxIter=20, weightCol="w"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
@@ -13,26 +14,56 @@ def assert_unique(df: DataFrame, key: str) -> DataFrame:
     return checked.filter(F.col("__ok").isNull()).drop("__ok")
 
 
+def keep_existing(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Those columns of ``names`` that are there, under their new names."""
+    return df.select(*(F.col(f"`{old}`").alias(new) for old, new in names.items() if old in df.columns))
+
+
+def enrich(base: DataFrame, key: str, parts: list[tuple[DataFrame | None, str]]) -> DataFrame:
+    """``base`` with the columns of each part by left joins on ``key``; of a part that is missing the columns are null.
+
+    Each part is a table with one row a key, or None, and its columns as a schema. All joins are on one key, so a shuffle
+    by it serves them all."""
+    for part, schema in parts:
+        fields = StructType.fromDDL(schema)
+        if part is None:
+            base = base.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields})
+        else:
+            base = base.join(part.select(key, *(F.col(f.name).cast(f.dataType) for f in fields)), key, "left")
+    return base
+
+
+def merge_first(base: DataFrame, extra: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:
+    """``base`` with ``column`` of the first row of each key in ``extra``; null where there is none."""
+    first = extra.groupBy(key).agg(F.min_by(F.struct(column), F.struct(*order)).alias("__first"))
+    return base.join(first.select(key, F.col(f"__first.{column}").alias(column)), key, "left")
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column) -> DataFrame:
     """``value`` of the key; ``default`` for a key that the table lacks, not for a null that it holds."""
     marked = table.select(key, value).withColumn("__found", F.lit(True))
     return df.join(marked, key, "left").withColumn(value, F.when(F.col("__found"), F.col(value)).otherwise(default)).drop("__found")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, width_days: int) -> DataFrame:
-    """Each left row with the right row of its key that is nearest in time, the earlier on a tie, among those at most
-    ``width_days`` away.
-
-    A join on (key, bucket of that width) with the right rows copied to the neighbouring buckets: the join key is an
-    equality and each right row is copied three times, whatever the group sizes."""
-    bucket = lambda c: F.floor(F.unix_date(F.to_date(c)) / width_days)
-    l = left.withColumn("__b", bucket(left_time)).withColumn("__row", F.struct(*left.columns))  # noqa: E741
-    r = right.select(key, F.col(right_time).alias("__t"), F.col(value).alias("__v"), F.explode(F.array(*(bucket(right_time) + d for d in (-1, 0, 1)))).alias("__b"))
-    gap = F.abs(F.unix_micros(F.col(left_time).cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp")))
-    joined = l.join(r, [key, "__b"], "left").withColumn("__gap", gap)
-    near = F.when(F.col("__gap") <= width_days * 86_400_000_000, F.struct("__gap", "__t", "__v"))
-    best = joined.groupBy("__row").agg(F.min(near).alias("__m"))
-    return best.select("__row.*", F.col("__m.__t").alias(right_time), F.col("__m.__v").alias(value))
+def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
+    """Each left row with the right row of its key that is nearest in time, the earlier on a tie and then the lesser
+    value; nulls for a key without right rows, or a left row without a time.
+
+    Both sides go into one stream per key; what was seen last, forwards and backwards, are the two that can be nearest:
+    one shuffle, no pairs, and equal left rows stay as many as they are."""
+    kind = right.schema
+    none = F.lit(None).cast(f"struct<t:{kind[right_time].dataType.simpleString()},v:{kind[value].dataType.simpleString()}>")
+    l = left.select(F.col(key).alias("k"), F.col(left_time).alias("t"), F.struct(*left.columns).alias("row"), none.alias("r"))  # noqa: E741
+    r = right.filter(F.col(right_time).isNotNull()).select(F.col(key).alias("k"), F.col(right_time).alias("t"), F.lit(None).cast(l.schema["row"].dataType).alias("row"), F.struct(F.col(right_time).alias("t"), F.col(value).alias("v")).alias("r"))
+    r = r.groupBy("k", "t").agg(F.first("row").alias("row"), F.min("r").alias("r"))
+    by = Window.partitionBy("k")
+    before = F.last("r", True).over(by.orderBy("t", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("r", True).over(by.orderBy(F.desc("t"), F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    seen = l.unionByName(r).select("*", before.alias("before"), after.alias("after")).filter("row is not null")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    later = F.col("before").isNull() | (micros("after.t") - micros("t") < micros("t") - micros("before.t"))
+    best = F.when(F.col("t").isNotNull(), F.when(later & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("before")))
+    return seen.select("row.*", best.alias("__r")).select(*left.columns, F.col("__r.t").alias(right_time), F.col("__r.v").alias(value))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:

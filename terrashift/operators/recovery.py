@@ -7,7 +7,7 @@ the exponential fit by scanning its one non-linear parameter.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .series import sustained_crossing
@@ -58,8 +58,6 @@ def multiplicities(spark: SparkSession, sizes: list[int], draws: int = BOOTSTRAP
 
 def bootstrap_ci(rows: DataFrame, key: str, x: str, y: str, table: DataFrame) -> DataFrame:
     """key, ci_lower, ci_upper: 2.5 and 97.5 percentiles of 1e4 times the leading coefficient over the resamples."""
-    from pyspark.sql import Window
-
     valid = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     placed = valid.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(x)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)).cast("int"))
     drawn = placed.join(table, ["n", "i"]).withColumn("__g", F.struct(key, "draw"))
@@ -96,6 +94,17 @@ def fit_exponential(rows: DataFrame, key: str, t: str, y: str, base: str, least:
     return best.select(key, F.when(ok & (r2 >= R2_GATE), F.round("f.__tau", 2)).alias("recovery_tau"), F.when(ok, F.round("f.__cmin", 4)).alias("recovery_cmin"), F.when(ok, F.round(r2, 3)).alias("recovery_r2"))
 
 
+def inflection(rows: DataFrame, permits: DataFrame, key: str, idx: str, y: str, permit: str) -> DataFrame:
+    """key, inflection: the first index of three rises in a row, no sooner than the series' trough (its first least value)
+    and the key's permit; null where there is none, or no permit."""
+    w = Window.partitionBy(key).orderBy(idx)
+    ahead = rows.select(key, idx, y, *(F.lead(y, k).over(w).alias(f"__y{k}") for k in (1, 2, 3)))
+    trough = rows.groupBy(key).agg(F.min_by(idx, F.struct(y, idx)).alias("__trough"))
+    joined = ahead.join(trough, key).join(permits.select(key, F.col(permit).alias("__permit")), key, "left")
+    rise = (F.col("__y1") > F.col(y)) & (F.col("__y2") > F.col("__y1")) & (F.col("__y3") > F.col("__y2")) & (F.col(idx) >= F.col("__trough")) & (F.col(idx) >= F.col("__permit"))
+    return joined.groupBy(key).agg(F.min(F.when(rise, F.col(idx))).alias("inflection"))
+
+
 def detect(rows: DataFrame, key: str, idx: str, month: str, smoothed: str, gates: DataFrame) -> DataFrame:
     """key, recovery_months: month of the first sustained crossing of the threshold, no sooner than the later of the
     curve's vertex and six months. ``gates``: key, threshold, vertex, valid; only valid keys can recover."""

@@ -13,20 +13,20 @@ from ..functions import classify as C
 from .registry import Tables, query
 
 _STG = (
-    "sar AS (SELECT l_partkey AS parcel_idx, CAST(year(l_shipdate) AS VARCHAR) AS observation_date, avg(0 - l_tax * 100) AS vv, count(*) AS px FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1, 2), landsat AS (SELECT l_partkey AS parcel_idx, CAST(year(l_shipdate) AS VARCHAR) AS observation_date, avg(l_discount * 8) AS dnbr, avg(l_quantity / 50) AS ndvi FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1, 2),"
-    " lidar AS (SELECT p_partkey AS parcel_idx, p_size AS chm FROM part WHERE p_partkey % 7 <> 0), parcels AS (SELECT p_partkey - 1 AS parcel_row, p_partkey AS parcel_idx, p_brand FROM part)"
+    "sar AS (SELECT l_partkey AS parcel_idx, CAST(year(l_shipdate) AS VARCHAR) AS observation_date, avg(0 - l_tax * 100) AS vv, count(*) AS px FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), landsat AS (SELECT l_partkey AS parcel_idx, CAST(year(l_shipdate) AS VARCHAR) AS observation_date, avg(l_discount * 8) AS dnbr, avg(l_quantity / 50) AS ndvi FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2),"
+    " lidar AS (SELECT p_partkey AS parcel_idx, p_size AS chm FROM part WHERE p_size <= 40), parcels AS (SELECT p_partkey - 1 AS parcel_row, p_partkey AS parcel_idx, p_brand FROM part)"
 )
 
 
-def stg_sar(t: Tables, keep: str = "l_partkey % 3 <> 0") -> DataFrame:
+def stg_sar(t: Tables, keep: str = "l_returnflag = 'R'") -> DataFrame:
     return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(0 - F.col("l_tax") * 100).alias("vv_change_db_mean"), F.count("*").alias("vv_pixel_count"))
 
 
-def stg_landsat(t: Tables, keep: str = "l_partkey % 5 <> 0") -> DataFrame:
+def stg_landsat(t: Tables, keep: str = "l_linestatus = 'O'") -> DataFrame:
     return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(F.col("l_discount") * 8).alias("dnbr_mean"), F.avg(F.col("l_quantity") / 50).alias("ndvi_mean"))
 
 
-def stg_lidar(t: Tables, keep: str = "p_partkey % 7 <> 0") -> DataFrame:
+def stg_lidar(t: Tables, keep: str = "p_size <= 40") -> DataFrame:
     return t.part.filter(keep).select(F.col("p_partkey").alias("parcel_idx"), F.col("p_size").alias("chm_max"))
 
 
@@ -66,7 +66,7 @@ def _ndvi_series(landsat: DataFrame) -> DataFrame:
 
 @query(
     f"WITH {_STG}, ndvi AS (SELECT parcel_idx, max(CASE WHEN observation_date = '1996' THEN ndvi END) AS ndvi_1996 FROM landsat GROUP BY 1)"
-    " SELECT p.parcel_idx, p.p_brand, s.observation_date, round(s.vv, 6) AS vv_change_db, CASE WHEN s.vv > -2 THEN 'no_change' WHEN s.vv BETWEEN -4 AND -2 THEN 'moderate' WHEN s.vv < -4 THEN 'severe' ELSE 'unknown' END AS sar_change_class, CASE WHEN s.px >= 6 THEN 'high' WHEN s.px >= 4 THEN 'medium' ELSE 'low' END AS sar_confidence, round(l.dnbr, 6) AS dnbr, CASE WHEN l.dnbr >= 0.66 THEN 'high' WHEN l.dnbr >= 0.44 THEN 'moderate_high' WHEN l.dnbr >= 0.27 THEN 'moderate_low' WHEN l.dnbr >= 0.1 THEN 'low' WHEN l.parcel_idx IS NOT NULL THEN 'unburned' END AS burn_severity, round(n.ndvi_1996, 6) AS ndvi_1996, d.chm AS chm_max"
+    " SELECT p.parcel_idx, p.p_brand, s.observation_date, round(s.vv, 6) AS vv_change_db, CASE WHEN s.vv > -2 THEN 'minimal_change' WHEN s.vv BETWEEN -4 AND -2 THEN 'moderate_loss' WHEN s.vv < -4 THEN 'severe_loss' ELSE 'unknown' END AS sar_change_class, CASE WHEN s.px >= 6 THEN 'high' WHEN s.px >= 4 THEN 'medium' ELSE 'low' END AS sar_confidence, round(l.dnbr, 6) AS dnbr, CASE WHEN l.dnbr >= 0.66 THEN 'high_severity' WHEN l.dnbr >= 0.44 THEN 'moderate_high_severity' WHEN l.dnbr >= 0.27 THEN 'moderate_low_severity' WHEN l.dnbr >= 0.1 THEN 'low_severity' WHEN l.parcel_idx IS NOT NULL THEN 'unburned' END AS burn_severity, round(n.ndvi_1996, 6) AS ndvi_1996, d.chm AS chm_max"
     " FROM parcels p LEFT JOIN sar s ON s.parcel_idx = p.parcel_idx LEFT JOIN landsat l ON l.parcel_idx = p.parcel_idx AND l.observation_date = s.observation_date LEFT JOIN ndvi n ON n.parcel_idx = p.parcel_idx LEFT JOIN lidar d ON d.parcel_idx = p.parcel_idx"
 )
 def jn04_star_mart(t: Tables) -> DataFrame:

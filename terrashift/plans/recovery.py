@@ -11,17 +11,16 @@ from .registry import Tables, query
 from .series import EVENT_DAY, SERIES, SMOOTH, daily, smoothed
 
 LEAST = 10
-DRAWS = 50
 #: Quantiles of rounded inputs often end in a 5 just where they are rounded: both engines round this much further on.
 OFF_EDGE = 1e-7
 
 
-def _quadratic_sql(source: str, extra: str = "") -> str:
-    """Common table expressions from ``source`` (user_id, t, y, w) to fit (user_id, n, a, vertex)."""
-    g = "user_id" + (f", {extra}" if extra else "")
+def _quadratic_sql(source: str, extra: str = "", name: str = "fit") -> str:
+    """Common table expressions from ``source`` (user_id, t, y, w) to ``name`` (user_id, n, a, vertex)."""
+    g, c = "user_id" + (f", {extra}" if extra else ""), f"{name}_c"
     return (
-        f"c0 AS (SELECT *, sum(t * w) OVER (PARTITION BY {g}) / sum(w) OVER (PARTITION BY {g}) AS c FROM {source}), c1 AS (SELECT {g}, sum(w) AS n, min(c) AS c, sum(w * (t - c) ** 2) AS s2, sum(w * (t - c) ** 3) AS s3, sum(w * (t - c) ** 4) AS s4, sum(w * y) AS t0, sum(w * (t - c) * y) AS t1, sum(w * (t - c) ** 2 * y) AS t2 FROM c0 GROUP BY {g}),"
-        f" c2 AS (SELECT *, (t2 - s2 * t0 / n - s3 * t1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) AS a FROM c1), fit AS (SELECT {g}, n, a, -((t1 - a * s3) / s2) / (2 * a) + c AS vertex FROM c2)"
+        f"{c}0 AS (SELECT *, sum(t * w) OVER (PARTITION BY {g}) / sum(w) OVER (PARTITION BY {g}) AS c FROM {source}), {c}1 AS (SELECT {g}, sum(w) AS n, min(c) AS c, sum(w * (t - c) ** 2) AS s2, sum(w * (t - c) ** 3) AS s3, sum(w * (t - c) ** 4) AS s4, sum(w * y) AS t0, sum(w * (t - c) * y) AS t1, sum(w * (t - c) ** 2 * y) AS t2 FROM {c}0 GROUP BY {g}),"
+        f" {c}2 AS (SELECT *, (t2 - s2 * t0 / n - s3 * t1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) AS a FROM {c}1), {name} AS (SELECT {g}, n, a, -((t1 - a * s3) / s2) / (2 * a) + c AS vertex FROM {c}2)"
     )
 
 
@@ -40,64 +39,63 @@ def st03_quadratic(t: Tables) -> DataFrame:
 
 # Resampling by a hash instead of a generator, so that SQL can draw the same: point i counts md5-many times (0 to 2).
 _TIMES = "CAST(('0x' || substr(md5(CAST(b AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 4)) AS INTEGER) % 3"
+_CI = (
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM p), times AS (SELECT user_id, draw.b, t, y, CAST({_TIMES} AS DOUBLE) AS w FROM r, (SELECT unnest(range(0, {R.BOOTSTRAPS})) AS b) draw), v AS (SELECT * FROM times WHERE w > 0), {_quadratic_sql('v', 'b', 'resampled')},"
+    " ci AS (SELECT user_id, quantile_cont(a * 1e4, 0.025) AS ci_lower, quantile_cont(a * 1e4, 0.975) AS ci_upper FROM resampled WHERE n >= 3 GROUP BY 1)"
+)
 
 
-@query(
-    f"WITH {SERIES}, {_POST}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM p), w AS (SELECT user_id, b, t, y, CAST({_TIMES} AS DOUBLE) AS w FROM r, (SELECT unnest(range(0, {DRAWS})) AS b)), v AS (SELECT * FROM w WHERE w > 0), {_quadratic_sql('v', 'b')}"
-    f" SELECT user_id, round(quantile_cont(a * 1e4, 0.025), 3) AS ci_lower, round(quantile_cont(a * 1e4, 0.975), 3) AS ci_upper FROM fit WHERE user_id < 40 GROUP BY 1"
-)
+@query(f"WITH {SERIES}, {_POST}, {_CI} SELECT user_id, round(ci_lower, 3) AS ci_lower, round(ci_upper, 3) AS ci_upper FROM ci")
 def st04_bootstrap(t: Tables) -> DataFrame:
-    """Confidence limits of the curvature by resampling with hashed multiplicities."""
-    return _hashed_ci(_post(t).filter("user_id < 40")).select("user_id", F.round("ci_lower", 3).alias("ci_lower"), F.round("ci_upper", 3).alias("ci_upper"))
+    """Confidence limits of the curvature of every user by resampling with hashed multiplicities."""
+    return _hashed_ci(_post(t)).select("user_id", F.round("ci_lower", 3).alias("ci_lower"), F.round("ci_upper", 3).alias("ci_upper"))
 
 
 @query()
 def st04_bootstrap_whole(t: Tables) -> DataFrame:
-    """The limits of ``st04_bootstrap`` for every user and at the operator's own number of draws: too slow for SQL."""
-    ci = _hashed_ci(_post(t), R.BOOTSTRAPS)
-    return ci.select("user_id", F.round("ci_lower", 3).alias("ci_lower"), F.round("ci_upper", 3).alias("ci_upper"))
+    """The same, held against a plain loop."""
+    return st04_bootstrap(t)
 
 
-def _hash_table(t_rows: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """n, draw, i, times for series of up to 30 points: the multiplicities that the SQL draws."""
+def _hashed_ci(rows: DataFrame, draws: int = R.BOOTSTRAPS) -> DataFrame:
+    """By the multiplicities that the SQL draws, for the lengths that the series have."""
     i, b = F.col("i").cast("string"), F.col("draw").cast("string")
     times = (F.conv(F.substring(F.md5(F.concat(b, F.lit("-"), i).cast("binary")), 1, 4), 16, 10).cast("int") % 3).alias("times")
-    base = t_rows.sparkSession.range(1, 31).select(F.col("id").cast("int").alias("n"))
-    drawn = base.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return drawn.select("n", "draw", "i", times).filter("times > 0")
+    lengths = rows.groupBy("user_id").agg(F.count("*").cast("int").alias("n")).select("n").distinct()
+    drawn = lengths.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return R.bootstrap_ci(rows, "user_id", "t", "y", drawn.select("n", "draw", "i", times).filter("times > 0"))
 
 
-def _hashed_ci(rows: DataFrame, draws: int = DRAWS) -> DataFrame:
-    return R.bootstrap_ci(rows, "user_id", "t", "y", _hash_table(rows, draws))
+def _seeded_ci(rows: DataFrame) -> DataFrame:
+    """By the seeded generator, for the lengths that the series have: as many as a series may have points."""
+    lengths = rows.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("n").distinct().collect()
+    return R.bootstrap_ci(rows, "user_id", "t", "y", R.multiplicities(rows.sparkSession, sorted(r.n for r in lengths)))
 
 
 @query()
 def st04_bootstrap_seeded(t: Tables) -> DataFrame:
     """The seeded generator's resamples: multiplicities depend on the length of a series alone."""
-    table = R.multiplicities(t.spark, list(range(LEAST, 31)))
-    ci = R.bootstrap_ci(_post(t), "user_id", "t", "y", table)
-    return ci.select("user_id", F.round("ci_lower", 2).alias("ci_lower"), F.round("ci_upper", 2).alias("ci_upper"))
+    return _seeded_ci(_post(t)).select("user_id", F.round("ci_lower", 2).alias("ci_lower"), F.round("ci_upper", 2).alias("ci_upper"))
 
 
-@query(f"WITH {SERIES}, {_POST}, {_quadratic_sql('p')} SELECT user_id, a * 1e4 >= 2.0 AND n >= {LEAST} AS smile_valid FROM fit")
-def st05_gate(t: Tables) -> DataFrame:
-    """Validity by the unrounded lower limit (here the curvature itself stands for it)."""
-    fit = R.fit_quadratic(_post(t), "user_id", "t", "y", least=0)
-    return fit.select("user_id", ((F.col("a") * 1e4 >= R.CI_LOWER_GATE) & (F.col("n") >= LEAST)).alias("smile_valid"))
+def _gate(post: DataFrame, ci: DataFrame) -> DataFrame:
+    """user_id, smile_valid: enough points, and the lower limit, unrounded, at the gate or above."""
+    valid = F.coalesce(F.col("ci_lower") >= R.CI_LOWER_GATE, F.lit(False))
+    return post.groupBy("user_id").agg(F.count("*").alias("n")).join(ci, "user_id", "left").select("user_id", ((F.col("n") >= LEAST) & valid).alias("smile_valid"))
 
 
-def _gate(t: Tables) -> DataFrame:
-    """user_id, smile_valid: enough points and a lower limit of the seeded bootstrap, unrounded, at the gate or above."""
+@query(f"WITH {SERIES}, {_POST}, {_CI}, sizes AS (SELECT user_id, count(*) AS n FROM p GROUP BY 1) SELECT user_id, n >= {LEAST} AND coalesce(ci_lower >= 2.0, false) AS smile_valid FROM sizes LEFT JOIN ci USING (user_id)")
+def st05_gate(t: Tables) -> DataFrame:
+    """Validity by the unrounded lower limit of the hashed bootstrap."""
     post = _post(t)
-    ci = R.bootstrap_ci(post, "user_id", "t", "y", R.multiplicities(t.spark, list(range(LEAST, 31))))
-    valid = F.coalesce(F.col("ci_lower") >= R.CI_LOWER_GATE, F.lit(False))
-    return post.groupBy("user_id").agg(F.count("*").alias("n")).join(ci, "user_id", "left").select("user_id", ((F.col("n") >= LEAST) & valid).alias("smile_valid"))
+    return _gate(post, _hashed_ci(post))
 
 
 @query()
 def st05_gate_bootstrap(t: Tables) -> DataFrame:
-    """The survey's gate: the lower confidence limit, which SQL can't draw."""
-    return _gate(t)
+    """The same gate by the seeded generator, which SQL can't draw."""
+    post = _post(t)
+    return _gate(post, _seeded_ci(post))
 
 
 _BASE = "b AS (SELECT user_id, quantile_cont(x, 0.75) AS pre_baseline, count(x) AS nb FROM s WHERE d < 8 AND x IS NOT NULL GROUP BY 1 HAVING count(x) >= 3)"
@@ -125,29 +123,29 @@ def st06_expfit(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH {SMOOTH}, {_POST}, {_BASE}, {_quadratic_sql('p')}, {_EXP}, gate AS (SELECT b.user_id, pre_baseline, least(pre_baseline * 0.90, 60) AS threshold, CASE WHEN n >= {LEAST} THEN vertex END AS vertex, CASE WHEN n >= {LEAST} THEN a END AS a, coalesce(n >= {LEAST} AND a * 1e4 >= 2.0, false) AS valid FROM b LEFT JOIN fit USING (user_id) WHERE b.user_id % 3 = 0),"
+    f"WITH {SMOOTH}, {_POST}, {_BASE}, {_quadratic_sql('p')}, {_CI}, {_EXP}, gate AS (SELECT b.user_id, pre_baseline, least(pre_baseline * 0.90, 60) AS threshold, CASE WHEN n >= {LEAST} THEN vertex END AS vertex, CASE WHEN n >= {LEAST} THEN a END AS a, coalesce(n >= {LEAST} AND ci_lower >= 2.0, false) AS valid FROM b LEFT JOIN fit USING (user_id) LEFT JOIN ci USING (user_id)),"
     " run AS (SELECT sm.user_id, d, (d - 8) / 4.0 AS month, sum(CASE WHEN smoothed >= threshold AND valid AND (d - 8) / 4.0 >= greatest(coalesce(vertex / 4.0, 2), 2) THEN 1 ELSE 0 END) OVER (PARTITION BY sm.user_id ORDER BY d ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS run FROM sm JOIN gate USING (user_id) WHERE d >= 8), hit AS (SELECT user_id, min(CASE WHEN run = 5 THEN month END) AS m FROM run GROUP BY 1)"
     " SELECT gate.user_id, 'Destroyed' AS damage_class, round(pre_baseline + 1e-7, 4) AS pre_baseline, nullif(round(CAST(m AS DOUBLE), 2), 0) AS recovery_months_post_fire, round(a * 1e4, 2) AS smile_curvature, round(vertex, 2) AS vertex_months, valid AS smile_valid, recovery_tau, recovery_cmin, recovery_r2 FROM gate LEFT JOIN hit USING (user_id) LEFT JOIN ex USING (user_id)"
 )
 def st08_recovery(t: Tables) -> DataFrame:
-    """The whole detection for one class: baseline, threshold, validated curvature, smoothed sustained crossing after
-    the vertex, exponential fit. Four days stand for a month, and two months for the least delay."""
-    curve = R.fit_quadratic(_post(t), "user_id", "t", "y", least=LEAST)
-    valid = F.coalesce((F.col("a") * 1e4 >= R.CI_LOWER_GATE) & (F.col("n") >= LEAST), F.lit(False))
-    return _recovery(t, curve.withColumn("smile_valid", valid), "user_id % 3 = 0")
+    """The whole detection, of every user: baseline, threshold, curvature valid by the bootstrap's lower limit, smoothed
+    sustained crossing after the vertex, exponential fit. Four days stand for a month, and two months for the least
+    delay."""
+    post = _post(t)
+    return _recovery(t, R.fit_quadratic(post, "user_id", "t", "y", least=LEAST).join(_gate(post, _hashed_ci(post)), "user_id", "left"))
 
 
 @query()
 def st08_recovery_bootstrap(t: Tables) -> DataFrame:
-    """``st08_recovery`` with the bootstrap's gate, over every user."""
-    curve = R.fit_quadratic(_post(t), "user_id", "t", "y", least=LEAST)
-    return _recovery(t, curve.join(_gate(t), "user_id", "left"), "true")
+    """``st08_recovery`` with the seeded generator's gate."""
+    post = _post(t)
+    return _recovery(t, R.fit_quadratic(post, "user_id", "t", "y", least=LEAST).join(_gate(post, _seeded_ci(post)), "user_id", "left"))
 
 
-def _recovery(t: Tables, fit: DataFrame, keep: str) -> DataFrame:
+def _recovery(t: Tables, fit: DataFrame) -> DataFrame:
     """``fit``: user_id, a, vertex, smile_valid."""
     rows = smoothed(t)
-    base = R.baseline(rows, "user_id", "x", F.col("d") < EVENT_DAY).filter(keep)
+    base = R.baseline(rows, "user_id", "x", F.col("d") < EVENT_DAY)
     valid = F.coalesce("smile_valid", F.lit(False))
     gates = base.join(fit, "user_id", "left").select("user_id", "pre_baseline", F.least(F.col("pre_baseline") * R.THRESHOLD_SHARE, F.lit(60.0)).alias("threshold"), "a", "vertex", valid.alias("valid"))
     from ..operators.series import sustained_crossing

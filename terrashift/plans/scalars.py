@@ -12,14 +12,15 @@ from .registry import Tables, query
 
 
 @query(
-    "WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS dn, l_discount AS a, l_tax AS b, l_quantity AS q FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(greatest(dn * 2.75e-5 - 0.174, 0), 1), 6) AS reflectance, round(dn * 0.00341802 + 149, 4) AS temperature, CASE WHEN a + b <> 0 THEN round((a - b) / (a + b), 6) END AS nd, coalesce(CASE WHEN a + b <> 0 THEN round((a - b) / (a + b), 6) END, 0) AS ratio,"
+    "WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS dn, l_discount AS a, l_tax AS b, l_quantity AS q FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(greatest(dn * 2.75e-5 - 0.174, 0), 1) + 1e-9, 6) AS reflectance, round(dn * 0.00341802 + 149 + 1e-7, 4) AS temperature, CASE WHEN a + b <> 0 THEN round((a - b) / (a + b), 6) END AS nd, coalesce(CASE WHEN a + b <> 0 THEN round((a - b) / (a + b), 6) END, 0) AS ratio,"
     " CASE WHEN a > 0 THEN round(10 * log10(a), 6) END AS db, round(10 * log10(greatest(a, 1e-30)), 6) AS db_floor, CASE WHEN q > 0 THEN round(20 * log10(q) - 83.0, 6) END AS sigma0, round(1 / ((1 - g * g) / (50 * g * g)), 6) AS weight, CASE WHEN abs(b - a) <= 1e-6 THEN 1 ELSE round(least(greatest((q / 50 - a) / (b - a), 0), 2), 6) + 0 END AS recovery, nullif(a, 0) AS present FROM (SELECT *, least(greatest(q / 50, 0.01), 0.999) AS g FROM s)"
 )
 def fn_numeric(t: Tables) -> DataFrame:
+    """Reflectance and temperature are rounded off the edge: prices of two decimals put many of them right on it."""
     dn, a, b, q = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
     r = lambda x: F.round(x, 6)
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", r(N.reflectance(dn)).alias("reflectance"), F.round(N.temperature(dn), 4).alias("temperature"), r(N.normalized_difference(a, b)).alias("nd"), r(N.safe_ratio(a, b)).alias("ratio"), r(N.to_db(a)).alias("db"),
+        "l_orderkey", "l_linenumber", r(N.reflectance(dn) + 1e-9).alias("reflectance"), F.round(N.temperature(dn) + 1e-7, 4).alias("temperature"), r(N.normalized_difference(a, b)).alias("nd"), r(N.safe_ratio(a, b)).alias("ratio"), r(N.to_db(a)).alias("db"),
         r(N.to_db_floored(a)).alias("db_floor"), r(N.sigma0_db(q)).alias("sigma0"), r(N.touzi_weight(q / 50)).alias("weight"), r(N.recovery_ratio(q / 50, a, b)).alias("recovery"), N.zero_to_null(a).alias("present"),
     )
 

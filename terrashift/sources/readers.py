@@ -70,9 +70,9 @@ def registry(spark: SparkSession, folders: str) -> DataFrame:
 
 
 def acquisitions(files: DataFrame) -> DataFrame:
-    """path and acquisition date from the first time stamp in each name, in order; files without one fail."""
+    """path and acquisition date from the first time stamp in each name, in order; a file without one is an error."""
     stamp = F.regexp_extract("path", r"_(20\d{6})T\w*Z", 1)
-    dated = files.select("path", F.to_date(F.nullif(stamp, F.lit("")), "yyyyMMdd").alias("date"))
+    dated = files.select("path", F.when(stamp == "", F.raise_error(F.concat(F.lit("no time stamp in "), "path")).cast("date")).otherwise(F.to_date(stamp, "yyyyMMdd")).alias("date"))
     return dated.orderBy("date", "path")
 
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import merge_first
+
 
 def parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -25,10 +27,32 @@ def update_in_place(df: DataFrame, path: str) -> None:
     fs.delete(place(old), True)
 
 
-def merge_column(df: DataFrame, extra: DataFrame, key: str, column: str, path: str) -> None:
-    """Read-modify-write: the old column goes, the new one is joined on, one row a key."""
-    one = extra.dropDuplicates([key]).select(key, column)
-    update_in_place(df.drop(column).join(one, key, "left"), path)
+def merge_column(df: DataFrame, extra: DataFrame, key: str, column: str, path: str, order: list[str] | None = None) -> None:
+    """Read-modify-write: the old column goes, the new one is joined on, of several rows of a key the first in ``order``
+    (without one, of its own values)."""
+    update_in_place(merge_first(df.drop(column), extra, key, column, order or [column]), path)
+
+
+def pixels(df: DataFrame, scene: str, path: str) -> None:
+    """Rasters as pixel rows, a folder for each scene; scenes that are there already are left as they are."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        df = df.join(spark.read.parquet(path).select(scene).distinct(), scene, "left_anti")
+    df.write.mode("append").partitionBy(scene).parquet(path)
+
+
+def copy_file(spark, source: str, target: str) -> None:
+    """Through the file systems of both, so either may be in any store."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf):
+        raise OSError(f"{source} could not be copied to {target}")
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model, for the ``load`` of its class."""
+    model.write().overwrite().save(path)
 
 
 def feature(properties: list[str], rings: str) -> Column:

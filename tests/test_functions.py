@@ -48,17 +48,17 @@ def test_ratios(spark):
     assert value(spark, numeric.js_round(F.lit(-2.5)), x=0.0) == -2
 
 
-@pytest.mark.parametrize(("x", "want"), [(0.7, "high"), (0.44, "moderate_high"), (0.1, "low"), (0.09, "unburned"), (None, "unburned")])
+@pytest.mark.parametrize(("x", "want"), [(0.7, "high_severity"), (0.44, "moderate_high_severity"), (0.27, "moderate_low_severity"), (0.1, "low_severity"), (0.09, "unburned"), (None, "unburned")])
 def test_severity(spark, x, want):
     assert value(spark, classify.burn_severity(F.col("x")), x=x) == want
 
 
-@pytest.mark.parametrize(("x", "want"), [(-2.0, "moderate"), (-4.0, "moderate"), (-4.1, "severe"), (0.0, "no_change"), (None, "unknown")])
+@pytest.mark.parametrize(("x", "want"), [(-2.0, "moderate_loss"), (-4.0, "moderate_loss"), (-4.1, "severe_loss"), (0.0, "minimal_change"), (None, "unknown")])
 def test_sar_change(spark, x, want):
     assert value(spark, classify.sar_change(F.col("x")), x=x) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("DEMOLITION then foundation", "demolition"), ("Framing", "framing"), ("none", "other")])
+@pytest.mark.parametrize(("text", "want"), [("DEMOLITION then foundation", "cleared_lot"), ("Framing", "structure_substantial"), ("Foundation final", "foundation_framing"), ("COO", "rebuild_complete"), ("New SFR", "rebuild_start"), ("none", "other"), (None, "unknown")])
 def test_permit_stage(spark, text, want):
     assert value(spark, classify.permit_stage(F.col("t")), t=text) == want
 
