@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, with_row
 
 BUCKETS = 4096
 TRAINING_PAGES = 200
@@ -40,7 +41,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video head title select option textarea".split())
 CLOSES = {"p": BLOCK - {"button", "label"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote that is never closed ends with its tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 ROUGH_WORD = re.compile(r"\S+")
@@ -313,12 +315,12 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", crf: Crf |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(crf, x) for x in b.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
+            texts = [main_text(crf, x) for x in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    source = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html).cast("string").alias("__html"))
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` string"])
-    return source.mapInArrow(run, schema)
+    source = with_row(pages, html=F.col(f"`{html}`").cast("string"))
+    found = source.mapInArrow(run, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
+    return found.select(*(F.col(f"row.`{c}`") for c in keep), F.col("text").alias(out))
 
 
 def op10_html(spark, sf_dir) -> DataFrame:

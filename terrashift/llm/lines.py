@@ -22,7 +22,7 @@ their places.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,9 @@ from .words import Words, mix
 PERCENT = 80
 CELLS = 1 << 20
 FILTER_BITS = 1 << 24
-KEYS = 2
+KEYS = 3
+#: Rows of a bucket that a class is looked at against.
+BEFORE = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _A = np.random.default_rng(3).integers(1, 2**63, 2 * KEYS, dtype=np.uint64) | np.uint64(1)
 
@@ -63,25 +65,30 @@ class Sets:
     """The word sets of a batch's lines, flat: ``tokens`` by rarity within each line (by hash without a sketch), lines
     from ``starts``; ``row`` and ``line`` say which lines they are."""
 
-    def __init__(self, texts: pa.Array, sketch: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, sketch: np.ndarray | None = None, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
         w = Words(texts)
         first = np.ones(len(w.hashes), bool)
         first[1:] = (w.text[1:] != w.text[:-1]) | (w.line[1:] != w.line[:-1])
         at = np.flatnonzero(first)
         self.row, self.line = w.text[at], w.line[at]
+        hashes, owner = w.hashes, np.cumsum(first) - 1
+        if wanted is not None:
+            keep = wanted(self.row, self.line)
+            self.row, self.line = self.row[keep], self.line[keep]
+            hashes, owner = hashes[keep[owner]], (np.cumsum(keep) - 1)[owner[keep[owner]]]
         # Places of the batch's distinct words in the order of all: by count, then by hash. One sort of (line, place)
         # then settles both which words are repeated and which are rare.
-        words, index = np.unique(w.hashes, return_inverse=True)
+        words, index = np.unique(hashes, return_inverse=True)
         if sketch is not None:
             order = np.lexsort((words, sketch[words & np.uint64(CELLS - 1)]))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             words, index = words[order], place[index]
-        key = np.sort((np.cumsum(first) - 1) << 32 | index)
+        key = np.sort(owner << 32 | index)
         if len(key):
             key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         self.tokens, self.owner = words[key & 0xFFFFFFFF], key >> 32
-        self.n = np.bincount(self.owner, minlength=len(at))
+        self.n = np.bincount(self.owner, minlength=len(self.row))
         self.starts = np.cumsum(self.n) - self.n
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -162,25 +169,27 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(place, "node"), "lines-wanted")
     shared = None
     if wanted.count() <= FILTER_BITS // 8:
-        # A bitmap of fixed size spares the other sets the shuffle; the join that follows decides.
-        at = wanted.select(F.col("k").bitwiseXOR(F.col("l").cast("long") * 40503).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")).toArrow()["bit"].to_numpy()
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        # Bitmaps of fixed size spare other texts and lines the work; the join that follows decides.
+        at = wanted.select(F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("text"), F.col("k").bitwiseXOR(F.col("l").cast("long") * 40503).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("line")).toArrow()
+        bits = np.zeros((2, FILTER_BITS // 8), np.uint8)
+        for row, bit in zip(bits, (at["text"].to_numpy(), at["line"].to_numpy()), strict=True):
+            np.bitwise_or.at(row, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
         shared = pairs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked(row: int, value: np.ndarray) -> np.ndarray:
+            bit = value & (FILTER_BITS - 1)
+            return (shared.value[row][bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
         for b in batches:
-            s = Sets(b.column("text"))
-            at = np.arange(len(s.n))
             if shared is not None:
-                bit = (b.column("key").to_numpy()[s.row] ^ s.line.astype(np.int64) * 40503) & (FILTER_BITS - 1)
-                at = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-            row = pa.array(s.row[at])
-            inside = np.zeros(len(s.n), bool)
-            inside[at] = True
-            ends = np.concatenate(([0], np.cumsum(8 * s.n[at]))).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s.tokens[inside[s.owner]]))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(s.line[at]), raw], ["doc_id", "key", "line", "set"])
+                b = b.take(pa.array(np.flatnonzero(marked(0, b.column("key").to_numpy()))))
+            key = b.column("key").to_numpy()
+            s = Sets(b.column("text"), wanted=shared and (lambda row, line, key=key: marked(1, key[row] ^ line.astype(np.int64) * 40503)))
+            row = pa.array(s.row)
+            ends = np.concatenate(([0], np.cumsum(8 * s.n))).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(s.n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s.tokens))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(s.line), raw], ["doc_id", "key", "line", "set"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(sets, f"doc_id {kind}, key long, line int, set binary")
@@ -202,30 +211,56 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def leaders(classes: DataFrame) -> DataFrame:
-    """a, b: each class b with the first class of a bucket and the two right before it there, as far as the filters let
-    it. Buckets are sorted and streamed: a task holds three rows of a bucket, however large."""
-    rows = classes.filter("n >= 4").select(F.explode("buckets").alias("bucket"), F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line", "node", "n", "sig")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "none", "doc_id", "key", "line").select("bucket", "node", "n", "sig")
+    """a, b: each class b with some that come before it in a bucket, as far as the filters let it: the first, the one with
+    the most places (copies differ less from what they are copied from than from each other, and that has the most), and
+    of the ``BEFORE`` right before it the two whose bitmaps are nearest. Buckets are sorted and streamed: a task holds
+    so many rows of a bucket, however large."""
+    rows = classes.filter("n >= 4").select(F.explode("buckets").alias("bucket"), F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line", "node", "n", "sig", "places")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "none", "doc_id", "key", "line").select("bucket", "node", "n", "sig", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         for b in batches:
             if not b.num_rows:
                 continue
             done = len(held[0])
-            bucket, node, n, sig = (np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, b.columns, strict=True))
+            bucket, node, n, sig, places = (np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, b.columns, strict=True))
             at = np.arange(len(bucket))
             start = np.maximum.accumulate(np.where(np.concatenate(([True], bucket[1:] != bucket[:-1])), at, 0))
-            found = []
-            for before in (start, np.where(at - 1 > start, at - 1, at), np.where(at - 2 > start, at - 2, at)):
-                i = np.flatnonzero((before < at) & (at >= done))
-                j = before[i]
+            # The greatest of (bucket, places, earliest) so far ends in the index of the one with the most places.
+            most = len(at) - 1 - (np.maximum.accumulate(start << 44 | np.minimum(places, (1 << 20) - 1) << 24 | len(at) - 1 - at) & (1 << 24) - 1)
+
+            def possible(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 least = np.ceil(PERCENT * (n[i] + n[j]) / (100 + PERCENT) - 1e-9).astype(np.int64)
-                ok = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * least)
-                found.append((node[j[ok]], node[i[ok]]))
+                apart = np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64)
+                return (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (apart <= n[i] + n[j] - 2 * least), apart
+
+            far = 1 << 20
+            best, second = np.full((2, len(at)), far), np.full((2, len(at)), far)  # distance and index
+            i = at[(at > start) & (at >= done)]
+            own = i
+            for back in range(1, BEFORE + 1):
+                i = i[i - back >= start[i]]
+                if not len(i):
+                    break
+                ok, apart = possible(i, i - back)
+                x, d = i[ok], apart[ok]
+                nearer = d < best[0, x]
+                second[:, x[nearer]] = best[:, x[nearer]]
+                best[:, x[nearer]] = d[nearer], x[nearer] - back
+                x, d = x[~nearer], d[~nearer]
+                next_ = d < second[0, x]
+                second[:, x[next_]] = d[next_], x[next_] - back
+            found = []
+            for before in (start[own], most[own - 1]):
+                ok, _ = possible(own, before)
+                found.append((node[before[ok]], node[own[ok]]))
+            for near in (best, second):
+                x = own[near[0, own] < far]
+                found.append((node[near[1, x]], node[x]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-            keep = sorted({int(start[-1]), max(int(start[-1]), len(at) - 2), len(at) - 1})
-            held = [x[keep] for x in (bucket, node, n, sig)]
+            keep = sorted({int(start[-1]), int(most[-1]), *range(max(int(start[-1]), len(at) - BEFORE), len(at))})
+            held = [x[keep] for x in (bucket, node, n, sig, places)]
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -255,9 +290,12 @@ def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     line), the number of its ``places`` and what the join needs."""
     rest = ("n", "sig", "buckets", "prefix")
     rows = stage(line_sets(docs, rarity(docs)), "lines-rows")
-    grouped = rows.filter("line >= 0").groupBy("h1", "h2").agg(F.min(_first()).alias("at"), F.max(_first()).alias("last"), *(F.first(c).alias(c) for c in rest))
-    classes = grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "at.doc_id", "at.key", "at.line", (F.col("at") != F.col("last")).alias("copied"), *rest)
-    return rows, stage(classes, "lines-classes")
+    grouped = rows.filter("line >= 0").groupBy("h1", "h2").agg(F.min(_first()).alias("at"), F.max(_first()).alias("last"), F.count("*").alias("places"), *(F.first(c).alias(c) for c in rest))
+    classes = grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "at.doc_id", "at.key", "at.line", (F.col("at") != F.col("last")).alias("copied"), "places", *rest)
+    classes = stage(classes, "lines-classes")
+    places = stage(rows.select("doc_id", "key", "line", "h1", "h2"), "lines-places")
+    release(rows)
+    return places, classes
 
 
 def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -276,10 +314,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     matched = matched_classes(docs, classes)
     verdict = classes.join(matched.withColumn("linked", F.lit(True)), "node", "left").filter("copied or linked").select("h1", "h2", _first().alias("at"), F.coalesce("linked", F.lit(False)).alias("linked"))
     verdict = stage(verdict, "lines-verdict")
-    lines = stage(rows.select("doc_id", "key", "line", "h1", "h2"), "lines-places")
-    release(rows, classes, matched)
+    release(classes, matched)
     # Lines of classes with one place and no link need no verdict.
-    judged = lines.join(verdict, ["h1", "h2"], "left")
+    judged = rows.join(verdict, ["h1", "h2"], "left")
     linked = (F.col("line") >= 0) & F.coalesce("linked", F.lit(False))
     gone = linked | ((F.col("line") >= 0) & F.col("at").isNotNull() & (_first() != F.col("at")))
     counted = judged.groupBy("doc_id", "key").agg(F.count_if(F.col("line") >= 0).alias("n_lines"), F.count_if(linked).alias("n_links"), F.collect_set(F.when(gone, F.col("line"))).alias("removed"))

@@ -66,8 +66,8 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashed(w), with_windows)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text."""
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, lang, source, the columns ``more`` and the counts of every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, WORDS, -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -76,9 +76,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeats"), F.aggregate(w, F.lit(0), lambda a, x: a + F.char_length(x)).alias("chars"))
 
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    counted = docs.select("doc_id", "lang", "source", let(words, of_words).alias("w"), of_lines.alias("l"), F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).alias("symbols"))
+    counted = docs.select("doc_id", "lang", "source", *more, let(words, of_words).alias("w"), of_lines.alias("l"), F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).alias("symbols"))
     counts = {"n_words": "w.n", "word_chars": "w.chars", "n_symbols": "symbols", "n_dup_lines": "l.dup", "n_repeat_words": "w.repeats", "n_lines": "l.n"}
-    return counted.select("doc_id", "lang", "source", *(F.col(v).cast("long").alias(k) for k, v in counts.items()))
+    return counted.select("doc_id", "lang", "source", *more, *(F.col(v).cast("long").alias(k) for k, v in counts.items()))
 
 
 def features() -> list[Column]:
@@ -196,10 +196,11 @@ def _levels(passed: DataFrame) -> DataFrame:
     return both.select("lang", "source", F.when(own_ok, own).when(lang_ok, lang).otherwise(every).alias("grp"), F.array_compact(fit).alias("fit"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed and kept for every row of ``docs``."""
+def judge(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, lang, source, the columns ``more``, the counts, base_failed and kept for every row of ``docs``. Rows are
+    written once with their counts; estimates are a row a group, so no row is shuffled for its verdict."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counted = stage(statistics(docs).withColumn("base_failed", base), "quality-counts")
+    counted = stage(statistics(docs, *more).withColumn("base_failed", base), "quality-counts")
     passed = counted.filter(~F.col("base_failed")).select("*", *features())
     levels = stage(_levels(counted.filter(~F.col("base_failed"))), "quality-levels")
     keyed = passed.alias("a").join(levels.alias("b"), _same(["lang", "source"])).select("a.*", "b.grp", "b.fit")
@@ -209,7 +210,7 @@ def judge(docs: DataFrame) -> DataFrame:
     judged = with_distance(keyed, estimates, ["grp"])
     limit = _chi2_quantile(1 - TAIL, len(FEATURES))
     verdict = F.col("d2") <= limit
-    names = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = ["doc_id", "lang", "source", *more, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*names, verdict.alias("kept")).unionByName(counted.filter("base_failed").select(*names, F.lit(False).alias("kept")))
 
 
@@ -220,6 +221,5 @@ def op8_quality(spark, sf_dir) -> DataFrame:
 
 def stage_quality(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """Documents that pass; their columns."""
-    key = F.xxhash64("doc_id", "text", "lang", "source")
-    out = stage(judge(docs.withColumn("doc_id", key)).filter(~F.col("kept")).select("doc_id").distinct(), "quality-rejected")
-    return with_row(docs, key=key).join(out.withColumnRenamed("doc_id", "key"), "key", "left_anti").select("row.*")
+    rows = with_row(docs, **{c: F.col(c) for c in ("doc_id", "text", "lang", "source")})
+    return judge(rows, "row").filter("kept").select("row.*")
