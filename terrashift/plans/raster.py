@@ -52,9 +52,10 @@ def agg39_zonal_median(t: Tables) -> DataFrame:
     return stats.filter("n >= 3")
 
 
-@query(f"WITH {_PIXELS}, {_OFF} SELECT s.vec_id, CAST(n.r AS INTEGER) AS \"row\", CAST(n.c AS INTEGER) AS col, round(avg(s.v), 6) AS mean FROM n JOIN px s ON s.r = n.sr AND s.c = n.sc GROUP BY 1, 2, 3")
+@query(f"WITH {_PIXELS}, {_OFF} SELECT s.vec_id, CAST(n.r AS INTEGER) AS \"row\", CAST(n.c AS INTEGER) AS col, round(avg(s.v), 6) + 0.0 AS mean FROM n JOIN px s ON s.r = n.sr AND s.c = n.sc GROUP BY 1, 2, 3")
 def win08_boxfilter(t: Tables) -> DataFrame:
-    return R.box_mean(_pixels(t), "vec_id", ["value"], 8, 8).select("vec_id", "row", "col", F.round("value", 6).alias("mean"))
+    """Means of 5 x 5 pixels; a zero has no sign."""
+    return R.box_mean(_pixels(t), "vec_id", ["value"], 8, 8).select("vec_id", "row", "col", (F.round("value", 6) + 0.0).alias("mean"))
 
 
 @query(
