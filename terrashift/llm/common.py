@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import written as stage  # noqa: F401  the operators take it from here
+
 #: ASCII white space that separates words.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. Only a local master may do without: executors of a cluster could not see
-    each other's files in a machine's own folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="terrashift-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    # Shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
 def release(*frames: DataFrame) -> None:
     """Delete what ``stage`` wrote, once whatever is read from it has been staged in turn."""
     for df in frames:
