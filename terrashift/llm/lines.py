@@ -315,8 +315,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     verdict = classes.join(matched.withColumn("linked", F.lit(True)), "node", "left").filter("copied or linked").select("h1", "h2", _first().alias("at"), F.coalesce("linked", F.lit(False)).alias("linked"))
     verdict = stage(verdict, "lines-verdict")
     release(classes, matched)
-    # Lines of classes with one place and no link need no verdict.
-    judged = rows.join(verdict, ["h1", "h2"], "left")
+    # Lines of classes with one place and no link need no verdict. What grows with the input is merged, not broadcast,
+    # so the plan is the same at every size.
+    judged = rows.join(verdict.hint("merge"), ["h1", "h2"], "left")
     linked = (F.col("line") >= 0) & F.coalesce("linked", F.lit(False))
     gone = linked | ((F.col("line") >= 0) & F.col("at").isNotNull() & (_first() != F.col("at")))
     counted = judged.groupBy("doc_id", "key").agg(F.count_if(F.col("line") >= 0).alias("n_lines"), F.count_if(linked).alias("n_links"), F.collect_set(F.when(gone, F.col("line"))).alias("removed"))
@@ -326,7 +327,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines of ``text``."""
     gone = stage(removed_lines(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "removed"), "lines-removed")
-    joined = with_row(docs, doc_id=F.col("doc_id"), key=row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
+    joined = with_row(docs, doc_id=F.col("doc_id"), key=row_key()).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, gone: pd.Series) -> pd.Series:

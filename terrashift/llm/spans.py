@@ -127,7 +127,8 @@ def _without(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``), ``text`` without the repeated spans, ``sentences``: the positions taken out."""
     gone = stage(covered(docs, LONE), "spans-covered").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "sentences")
     rows = with_row(docs, doc_id=F.col("doc_id"), key=row_key())
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
+    # What grows with the input is merged, not broadcast, so the plan is the same at every size.
+    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
