@@ -35,4 +35,51 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(r.b, w
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) r ON r.a = w.doc_id
 """
 
-ORACLES = {"op3_lines": LINES, "op9_minhash": MINHASH}
+FILTERS = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN min(d.doc_id) OVER (PARTITION BY t) < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), g AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f
+), s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+x AS (SELECT g.*, s.*, contains(fails, f) AS bad, length(translate(fails, earlier, '')) < length(fails) AS gone FROM g, s),
+r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, any_value(f) AS f, CAST(sum(CASE WHEN NOT bad AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN bad AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN bad AND NOT gone THEN n * good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN bad AND NOT gone THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
+def centroids(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Each round as two tables: the nearest centroids, and the floors of the means."""
+    nearest = "SELECT vec_id, v, c, d FROM (SELECT p.*, t.c, d.d, row_number() OVER (PARTITION BY p.row ORDER BY d.d, t.c) AS place FROM p, c{r} t, LATERAL (SELECT CAST(list_sum(list_transform(range(1, %d), lambda i: (p.v[i] - t.w[i]) * (p.v[i] - t.w[i]))) AS BIGINT) AS d) d) WHERE place = 1" % (dims + 1)
+    mean = (
+        "SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM (SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, {last})) AS i) GROUP BY 1, 2) GROUP BY 1 "
+        "UNION ALL SELECT c, w FROM c{r} WHERE c NOT IN (SELECT c FROM a{r})"
+    ).replace("{last}", str(dims + 1))
+    parts = [
+        f"p AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v AS w FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM p ORDER BY h, v LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        parts += [f"a{r} AS MATERIALIZED ({nearest.format(r=r)})", f"c{r + 1} AS MATERIALIZED ({mean.format(r=r)})"]
+    parts.append(f"a{rounds} AS MATERIALIZED ({nearest.format(r=rounds)})")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} t ON t.c = a.c"
+    )
+
+
+ORACLES = {"op3_lines": LINES, "op9_minhash": MINHASH, "op12_filters": FILTERS, "op13_centroids": centroids()}
