@@ -100,11 +100,14 @@ def not_yet(found: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return found.join(present.select(key).distinct(), key, "left_anti")
 
 
-def pixel_window(pixels: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
-    """Pixels within inclusive bounds, rows and columns counted anew from the corner of the window."""
+def pixel_window(pixels: DataFrame, west: float, south: float, east: float, north: float, scene: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels within inclusive bounds, rows and columns counted anew from the corner of the window: each scene's own, or
+    one for all without ``scene``."""
     inside = pixels.filter(F.col("x").between(west, east) & F.col("y").between(south, north))
-    corner = inside.agg(F.min("row").alias("__r"), F.min("col").alias("__c"))
-    return inside.join(F.broadcast(corner)).withColumn("row", F.col("row") - F.col("__r")).withColumn("col", F.col("col") - F.col("__c")).drop("__r", "__c")
+    corner = inside.groupBy(*scene).agg(F.min("row").alias("__r"), F.min("col").alias("__c"))
+    # Without a scene this is one row; else the scenes' corners, joined by scene.
+    joined = inside.join(corner, list(scene)) if scene else inside.join(F.broadcast(corner))
+    return joined.withColumn("row", F.col("row") - F.col("__r")).withColumn("col", F.col("col") - F.col("__c")).drop("__r", "__c")
 
 
 def common_extent(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -31,3 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
+
+
+def deleted(*frames: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing will read it again."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
