@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, chain, evaluation, ladders, mart, outputs, raster, rasters, recovery, relational, scalars, series, spatial  # noqa: F401  registers queries
+from .plans import aggregates, chain, evaluation, geometry, ladders, mart, outputs, raster, rasters, recovery, relational, scalars, series, spatial  # noqa: F401  registers queries
 from .plans.registry import ORACLES, QUERIES
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _edges(ring: Column) -> Column:
     """(x1, y1, x2, y2) of each side."""
-    after = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.zip_with(ring, after, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
@@ -91,3 +91,53 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
 def pixel_center(x0: Column, dx: Column, col: Column) -> Column:
     """Centre of a column when x0 is the left edge of the first."""
     return x0 + (col + 0.5) * dx
+
+
+def segments_meet(a: Column, b: Column) -> Column:
+    """Whether two segments (struct x1, y1, x2, y2) share a point, ends included: their boxes meet and neither lies on one
+    side of the other."""
+    side = lambda s, x, y: (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
+    apart = lambda s, t: F.signum(side(s, t["x1"], t["y1"])) * F.signum(side(s, t["x2"], t["y2"])) > 0
+    reach = lambda s, t, c: (F.least(s[f"{c}1"], s[f"{c}2"]) <= F.greatest(t[f"{c}1"], t[f"{c}2"])) & (F.least(t[f"{c}1"], t[f"{c}2"]) <= F.greatest(s[f"{c}1"], s[f"{c}2"]))
+    return reach(a, b, "x") & reach(a, b, "y") & ~apart(a, b) & ~apart(b, a)
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether the areas of two rings share a point: sides meet, or one holds the other."""
+    crossed = F.exists(_edges(a), lambda s: F.exists(_edges(b), lambda t: segments_meet(s, t)))
+    return crossed | contains(a, b[0]["x"], b[0]["y"]) | contains(b, a[0]["x"], a[0]["y"])
+
+
+def fill_runs(ring: Column, x0: float, y0: float, dx: float, dy: float, width: int, height: int) -> Column:
+    """Runs (row, first, last) of the pixels whose centres a ring holds, by even-odd crossings of each row's centre line.
+
+    The raster has its corner at (x0, y0), steps dx > 0 and dy (negative where north is up), and ``width`` by ``height``
+    pixels. A row costs its crossings, whatever the number of its pixels."""
+    ys = F.transform(ring, lambda p: (p["y"] - y0) / dy)
+    rows = F.sequence(F.greatest(F.floor(F.array_min(ys)), F.lit(0)).cast("int"), F.least(F.floor(F.array_max(ys)), F.lit(height - 1)).cast("int"))
+    rows = F.when((F.array_max(ys) >= 0) & (F.array_min(ys) < height) & (F.size(ring) > 2), rows).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def of_row(r: Column) -> Column:
+        y = F.lit(y0) + (r + 0.5) * dy
+        cut = F.filter(_edges(ring), lambda e: (e["y1"] > y) != (e["y2"] > y))
+        xs = F.array_sort(F.transform(cut, lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+        # The first column whose centre isn't left of a crossing.
+        cols = F.transform(xs, lambda x: F.ceil((x - x0) / dx - 0.5))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(cols) - 1, F.lit(2)), lambda i: F.struct(r.alias("row"), F.greatest(F.element_at(cols, i), F.lit(0)).cast("int").alias("first"), F.least(F.element_at(cols, i + 1) - 1, F.lit(width - 1)).cast("int").alias("last")))
+        return F.when(F.size(cols) > 1, F.filter(pairs, lambda p: p["first"] <= p["last"])).otherwise(F.expr("cast(array() as array<struct<row:int,first:int,last:int>>)"))
+
+    return F.flatten(F.transform(rows, of_row))
+
+
+def svg_points(ring: Column, pad: float, digits: int = 2) -> Column:
+    """A ring's points in percent of its padded box from the upper left, as the ``points`` of an SVG polygon."""
+    b = bounds(ring, pad)
+    text = lambda v: F.round(v, digits).cast(f"decimal(12,{digits})").cast("string")
+    return F.array_join(F.transform(ring, lambda p: F.concat(text((p["x"] - b["w"]) / (b["e"] - b["w"]) * 100), F.lit(","), text((b["n"] - p["y"]) / (b["n"] - b["s"]) * 100))), " ")
+
+
+def once(ring: Column) -> Column:
+    """A ring that runs over the same points several times, once."""
+    n = F.size(ring)
+    turns = F.filter(F.sequence(F.lit(1), n), lambda p: (n % p == 0) & F.when(n % p == 0, F.concat(F.slice(ring, p + 1, n - p + 1), F.slice(ring, F.lit(1), p)) == ring).otherwise(False))
+    return F.when(n > 1, F.slice(ring, F.lit(1), turns[0])).otherwise(ring)

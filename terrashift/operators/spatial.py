@@ -34,6 +34,19 @@ def boxes_that_meet(left: DataFrame, right: DataFrame, a: str, b: str, cell: flo
     return joined.filter(here).drop("cx", "cy")
 
 
+def polygons_that_meet(left: DataFrame, right: DataFrame, a: str, b: str, cell: float) -> DataFrame:
+    """Pairs of rows whose rings share a point, borders included: boxes find candidates by cells, each pair once, and the
+    exact predicate drops those whose boxes alone meet."""
+    l = left.withColumn("__a", G.bounds(F.col(a)))  # noqa: E741
+    r = right.withColumn("__b", G.bounds(F.col(b)))
+    return boxes_that_meet(l, r, "__a", "__b", cell).filter(G.rings_meet(F.col(a), F.col(b))).drop("__a", "__b")
+
+
+def filled_pixels(polygons: DataFrame, ring: str, x0: float, y0: float, dx: float, dy: float, width: int, height: int) -> DataFrame:
+    """``polygons`` with a row for each run of pixels (row, first, last) that a ring holds; no join with the raster."""
+    return polygons.select("*", F.inline(G.fill_runs(F.col(ring), x0, y0, dx, dy, width, height)))
+
+
 def zonal_join(pixels: DataFrame, polygons: DataFrame, ring: str, cell: float) -> DataFrame:
     """Pixels (row, col, x, y, value) with the polygons that hold their centres."""
     return points_in_polygons(pixels, polygons, ring, cell)

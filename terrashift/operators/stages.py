@@ -46,4 +46,4 @@ def hold_monotone(df: DataFrame, key: str, order: list[str], stage: str, allowed
     )["out"]
     rows = begun.select(F.inline(F.arrays_zip(F.col("rows.row").alias("row"), folded.alias("f"))))
     name_of = reduce(lambda out, x: out.when(F.col("f.state") == x[1], x[0]), list(code.items())[1:], F.when(F.col("f.state") == 1, names[0]))
-    return rows.select("row.*", name_of.alias(held), ((F.col("f.own") >= 0) & (F.col("f.own") != F.col("f.state"))).alias(flag))
+    return rows.select("row.*", name_of.alias(held), ((F.col("f.own") == 0) | (F.col("f.own") > 0) & (F.col("f.own") != F.col("f.state"))).alias(flag))
