@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import written as stage  # noqa: F401  the operators take it from here
+from ..staging import deleted, written
 
 #: ASCII white space that separates words.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+_RECORDING = threading.local()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    out = written(df, name)
+    if getattr(_RECORDING, "tables", None) is not None:
+        _RECORDING.tables.append(out)
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what ``stage`` wrote, once whatever is read from it has been staged in turn."""
-    for df in frames:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    deleted(*frames)
+    if getattr(_RECORDING, "tables", None) is not None:
+        _RECORDING.tables[:] = [t for t in _RECORDING.tables if all(t is not f for f in frames)]
+
+
+@contextmanager
+def recording(tables: list[DataFrame]) -> Iterator[None]:
+    """Within, ``stage`` adds to ``tables`` what it writes, and ``release`` takes from it what goes."""
+    before = getattr(_RECORDING, "tables", None)
+    _RECORDING.tables = tables
+    try:
+        yield
+    finally:
+        _RECORDING.tables = before
+
+
+def sweep(tables: list[DataFrame], reader: DataFrame) -> None:
+    """Delete those of ``tables`` that ``reader`` doesn't read, and take them from the list."""
+    if tables:
+        files = reader.inputFiles()
+        read = [t for t in tables if any(t.staged_at.rsplit("/", 1)[-1] in f for f in files)]
+        deleted(*(t for t in tables if all(t is not r for r in read)))
+        tables[:] = read
 
 
 def with_row(docs: DataFrame, **more: Column) -> DataFrame:

@@ -306,15 +306,17 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return verify(stage(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "lines-all-pairs"), classes, docs)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, key, n_lines (with a word), n_links (lines whose set is alike to some earlier, different set: not the number of links, which is ``class_links``), removed (line numbers):
-    a row for each text."""
+    a row for each text. ``used`` gets the staged tables that the result reads."""
     docs = docs.select("doc_id", "text")
     rows, classes = class_sets(docs)
     matched = matched_classes(docs, classes)
     verdict = classes.join(matched.withColumn("linked", F.lit(True)), "node", "left").filter("copied or linked").select("h1", "h2", _first().alias("at"), F.coalesce("linked", F.lit(False)).alias("linked"))
     verdict = stage(verdict, "lines-verdict")
     release(classes, matched)
+    if used is not None:
+        used += [rows, verdict]
     # Lines of classes with one place and no link need no verdict. What grows with the input is merged, not broadcast,
     # so the plan is the same at every size.
     judged = rows.join(verdict.hint("merge"), ["h1", "h2"], "left")
@@ -326,7 +328,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines of ``text``."""
-    gone = stage(removed_lines(docs).filter(F.size("removed") > 0).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "removed"), "lines-removed")
+    used: list[DataFrame] = []
+    gone = stage(removed_lines(docs, used).filter(F.size("removed") > 0).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "removed"), "lines-removed")
+    release(*used)
     joined = with_row(docs, doc_id=F.col("doc_id"), key=row_key()).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
 
     @F.pandas_udf("string")

@@ -216,19 +216,23 @@ def lead_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root: the smallest node reachable over ``links``. Labels spread to neighbours, then jump to their own
-    label's label, so long chains take a logarithmic number of rounds."""
+    """node, root: the smallest node reachable over ``links``, staged. Labels spread to neighbours, then jump to their own
+    label's label, so long chains take a logarithmic number of rounds; a round's labels go when the next are written."""
     both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-links")
     labels = stage(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "components-labels")
+    last = labels
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # A label is a node as well: take over its label.
         jump = spread.join(spread.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", "old", F.least("root", "further").alias("root"))
         jump = stage(jump, "components-labels")
-        labels = jump.select("node", "root")
+        release(last)
+        last, labels = jump, jump.select("node", "root")
         if jump.filter(F.col("root") != F.col("old")).isEmpty():
-            return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            found = stage(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "components")
+            release(last, both)
+            return found
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -307,8 +311,9 @@ def rest_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets:
     return dealt.mapInArrow(links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, key, n_shingles, component_id, kept for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, used: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, kept for every row of ``docs``. ``used`` gets the staged tables that the result
+    reads."""
     threshold = percent / 100
     rows = docs.select("doc_id", "text")
     signed = stage(shingle_sets(rows, k), "minhash-rows")
@@ -323,15 +328,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets_of = full_sets(buckets.select("node").distinct(), classes, rows, k)
     tried = stage(prune(lead_pairs(buckets), classes, threshold), "minhash-tried")
     links = stage(verify(tried, sets_of, percent), "minhash-links")
-    labels = stage(components(classes, links), "minhash-labels")
+    labels = components(classes, links)
     # Then whatever shares a bucket across components.
     more = stage(rest_links(buckets, labels, classes, sets_of, threshold, percent), "minhash-links")
     if not more.isEmpty():
-        labels = stage(components(classes, links.unionByName(more)), "minhash-labels")
+        release(labels)
+        labels = components(classes, links.unionByName(more))
     member = classes.select("node", "h1", "h2", "first_id").join(labels, "node")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component"))
     member = stage(member.join(smallest, "root").select("h1", "h2", "component"), "minhash-member")
     release(classes, buckets, sets_of, tried, links, more, labels)
+    if used is not None:
+        used += [sets, member]
     own = F.coalesce("component", "doc_id")
     joined = sets.join(member, ["h1", "h2"], "left")
     return joined.select("doc_id", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
@@ -347,7 +355,10 @@ def stage_minhash(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """One document of each component of near duplicates (five-word shingles), of a row and its repeats one; rows without
     words all stay. Their columns."""
     small_batches(spark)
-    kept = stage(near_duplicates(docs).filter("kept").groupBy("key").agg(F.max("n_shingles").alias("n")), "minhash-kept")
-    rows = with_row(docs, key=row_key()).join(kept, "key")
-    one = rows.withColumn("copy", F.when(F.col("n") == 0, F.monotonically_increasing_id())).dropDuplicates(["key", "copy"])
+    used: list[DataFrame] = []
+    kept = stage(near_duplicates(docs, used=used).filter("kept").groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.max("n_shingles").alias("n")), "minhash-kept")
+    release(*used)
+    # By id and text together: two texts that share a hash stay two.
+    rows = with_row(docs, doc_id=F.col("doc_id"), key=row_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
+    one = rows.withColumn("copy", F.when(F.col("n") == 0, F.monotonically_increasing_id())).dropDuplicates(["doc_id", "key", "copy"])
     return one.select("row.*")

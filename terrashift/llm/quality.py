@@ -134,8 +134,8 @@ def _same(group: list[str]) -> Column:
     return on
 
 
-def _starts(rows: DataFrame, group: list[str], names: list[str], floor: tuple[float, ...]) -> DataFrame:
-    """``start`` 0 and 1 of each group, with means and covariances."""
+def _starts(rows: DataFrame, group: list[str], names: list[str], floor: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """``start`` 0 and 1 of each group, with means and covariances, and the staged table that this reads."""
     p = len(names)
     med = rows.groupBy(*group).agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(names)))
     off = rows.alias("a").join(med.alias("b"), _same(group)).select(*(F.col(f"a.{g}") for g in group), *(F.col(f"b.m{i}") for i in range(p)), *((F.col(f"a.{n}") - F.col(f"b.m{i}")).alias(n) for i, n in enumerate(names)))
@@ -148,14 +148,16 @@ def _starts(rows: DataFrame, group: list[str], names: list[str], floor: tuple[fl
     both = scale.alias("a").join(related.alias("b"), _same(group)).select("a.*", *(F.col(f"b.r{i}_{j}") for i, j in pairs), F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
     # Correlations are drawn in a little, so that the scatter has an inverse.
     cov = {(i, j): F.pow(f"s{i}", F.lit(2.0)) + floor[i] ** 2 if i == j else 0.95 * F.col("start") * F.col(f"r{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") for i in range(p) for j in range(i + 1)}
-    return both.select(*group, "start", *(f"m{i}" for i in range(p)), *(v.alias(f"c{i}_{j}") for (i, j), v in cov.items()))
+    return both.select(*group, "start", *(f"m{i}" for i in range(p)), *(v.alias(f"c{i}_{j}") for (i, j), v in cov.items())), scale
 
 
 def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """One row per group: means ``m0…``, inverse covariances ``q0_0…`` (scaled to be consistent, floors added), ``logdet``."""
     p, names = len(x), list(x)
     each, scale = [*group, "start"], consistency(share, p)
-    now = stage(with_precision(_starts(rows, group, names, floor), each, p), "mcd-start")
+    begun, scale_table = _starts(rows, group, names, floor)
+    now = stage(with_precision(begun, each, p), "mcd-start")
+    release(scale_table)
     for step in range(steps):
         near = with_distance(rows, now, group, x)
         cut = near.groupBy(*each).agg(F.percentile_approx("d2", share, 1000).alias("cut"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, small_batches, stage, with_row, words_of
+from .common import documents, release, row_key, small_batches, stage, with_row, words_of
 
 SENTENCES, WORDS = 2, 12
 #: A passage's length: so long a sentence is a span without others.
@@ -104,13 +104,15 @@ def _at() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p"))
 
 
-def covered(docs: DataFrame, lone: int | None = None) -> DataFrame:
+def covered(docs: DataFrame, lone: int | None = None, used: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, key, sentences: positions that a repeated span's later place covers, for texts that have any. ``lone``:
-    as for ``spans``."""
+    as for ``spans``; ``used`` gets the staged table that the result reads."""
     rows = span_rows(docs, lone)
     # Sums by task come before the shuffle, so a passage in every document is a row a task.
     seen = rows.groupBy("h1", "h2").agg(F.min(_at()).alias("first"), F.max(_at()).alias("last"))
     repeated = stage(seen.filter(F.col("first") != F.col("last")).select("h1", "h2", "first"), "spans-repeated")
+    if used is not None:
+        used.append(repeated)
     later = rows.join(repeated, ["h1", "h2"]).filter(_at() != F.col("first"))
     later = later.select("doc_id", "key", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("s"))
     return later.groupBy("doc_id", "key").agg(F.collect_set("s").alias("sentences"))
@@ -125,7 +127,10 @@ def remove_sentences(text: str | None, gone: list[int] | None) -> str | None:
 
 def _without(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``), ``text`` without the repeated spans, ``sentences``: the positions taken out."""
-    gone = stage(covered(docs, LONE), "spans-covered").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "sentences")
+    used: list[DataFrame] = []
+    gone = stage(covered(docs, LONE, used), "spans-covered")
+    release(*used)
+    gone = gone.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "sentences")
     rows = with_row(docs, doc_id=F.col("doc_id"), key=row_key())
     # What grows with the input is merged, not broadcast, so the plan is the same at every size.
     joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
