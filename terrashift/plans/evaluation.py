@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import attribution as A
 from ..operators import evaluation as E
 from .registry import Tables, query
 
@@ -59,3 +60,15 @@ def st17_pca_kmeans(t: Tables) -> DataFrame:
 
     filled = daily(t).fillna(50.0, ["x"]).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("s"))
     return E.pca_clusters(filled.select("user_id", F.transform("s", lambda p: p["x"]).alias("v")), "user_id", "v", 2, 4)
+
+
+@query()
+def st16_attributions(t: Tables) -> DataFrame:
+    """Mean absolute Shapley value of each feature over all parts, of a forest that tells large parts."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = ["p_size", "p_retailprice", "name_length"]
+    rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", F.length("p_name").cast("double").alias("name_length"), (F.col("p_size") + F.col("p_retailprice") % 50 > 40).cast("double").alias("label"))
+    fitted = RandomForestClassifier(numTrees=20, maxDepth=5, seed=42).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(rows))
+    return A.mean_absolute(A.attributions(rows, "p_partkey", columns, fitted), columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..operators import edges as E
 from ..operators import raster as R
+from ..operators import similarity as L
 from ..operators import stages as S
 from ..sources import geotiff as G
 from ..staging import shared_dir
@@ -88,13 +89,41 @@ SELECT i.vec_id, count(e.r) AS edge_pixels, count(e.r) / 64.0 AS edge_density FR
 @query(_CANNY)
 def img_edge_density(t: Tables) -> DataFrame:
     """Share of edge pixels with thresholds 50 and 150."""
-    px = R.to_pixels(t.embeddings, "vec_id", "embedding", 8)
-    gray = px.withColumn("value", F.least(F.greatest(F.floor((F.col("value") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("double"))
-    counts = E.canny(gray, "vec_id", 50.0, 150.0).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = E.canny(_gray(t), "vec_id", 50.0, 150.0).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
     joined = t.embeddings.select("vec_id").join(counts, "vec_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.select("vec_id", F.col("n").alias("edge_pixels"), (F.col("n") / 64.0).cast("double").alias("edge_density"))
 
 
+def _gray(t: Tables) -> DataFrame:
+    px = R.to_pixels(t.embeddings, "vec_id", "embedding", 8)
+    return px.withColumn("value", F.least(F.greatest(F.floor((F.col("value") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("double"))
+
+
+@query(
+    f"WITH {_GRAY}, p AS (SELECT a.vec_id // 2 AS pair, a.r, a.c, a.v AS a, b.v AS b FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.r = a.r AND b.c = a.c WHERE a.vec_id % 2 = 0),"
+    " w AS (SELECT pair, r0, c0, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS cab FROM p, (SELECT unnest([3, 4]) AS r0) x, (SELECT unnest([3, 4]) AS c0) y WHERE abs(r - r0) <= 3 AND abs(c - c0) <= 3 GROUP BY 1, 2, 3)"
+    " SELECT CAST(pair AS BIGINT) AS pair, round(avg((2 * ma * mb + 6.5025) * (2 * cab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))), 6) AS ssim FROM w GROUP BY 1"
+)
+def img_ssim(t: Tables) -> DataFrame:
+    """Structural similarity of pairs of images over windows of 7 x 7."""
+    side = lambda k, name: _gray(t).filter(F.col("vec_id") % 2 == k).select(F.floor(F.col("vec_id") / 2).alias("pair"), "row", "col", F.col("value").alias(name))
+    found = L.structural_similarity(side(0, "a").join(side(1, "b"), ["pair", "row", "col"]), "pair")
+    return found.select("pair", F.round("ssim", 6).alias("ssim"))
+
+
+@query(
+    f"WITH {_GRAY}, i AS (SELECT vec_id // 3 AS image, r, c, max(CASE WHEN vec_id % 3 = 0 THEN v END) AS v0, max(CASE WHEN vec_id % 3 = 1 THEN v END) AS v1, max(CASE WHEN vec_id % 3 = 2 THEN v END) AS v2 FROM px GROUP BY 1, 2, 3 HAVING count(*) = 3),"
+    " h AS (SELECT image // 2 AS pair, image % 2 AS side, floor(v0 / 16) * 256 + floor(v1 / 16) * 16 + floor(v2 / 16) AS bin, count(*) / 64.0 AS p FROM i GROUP BY 1, 2, 3), a AS (SELECT * FROM h WHERE side = 0), b AS (SELECT * FROM h WHERE side = 1)"
+    " SELECT CAST(coalesce(a.pair, b.pair) AS BIGINT) AS pair, round(sqrt(greatest(1 - sum(sqrt(coalesce(CAST(a.p AS DOUBLE), 0) * coalesce(CAST(b.p AS DOUBLE), 0))), 0)), 6) AS distance FROM a FULL JOIN b ON a.pair = b.pair AND a.bin = b.bin GROUP BY 1"
+)
+def img_colour_distance(t: Tables) -> DataFrame:
+    """Distance of pairs of images by their joint histograms of three channels, 16 steps each."""
+    k = F.floor(F.col("vec_id") / 3)
+    wide = _gray(t).groupBy(k.alias("image"), "row", "col").agg(*(F.max(F.when(F.col("vec_id") % 3 == c, F.col("value"))).alias(f"v{c}") for c in range(3))).dropna()
+    side = lambda n: wide.filter(F.col("image") % 2 == n).select(F.floor(F.col("image") / 2).alias("pair"), "v0", "v1", "v2")
+    return L.colour_distance(side(0), side(1), "pair", ["v0", "v1", "v2"]).select("pair", F.round("distance", 6).alias("distance"))
+
+
 _STEPS = " OR ".join("(h.held = '%s' AND s.stage IN (%s))" % (a, ", ".join(f"'{x}'" for x in after)) for a, after in C.VALID_TRANSITIONS)
 
 

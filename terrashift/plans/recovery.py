@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import fits
 from ..operators import recovery as R
+from ..staging import written
 from .registry import Tables, query
 from .series import EVENT_DAY, SERIES, SMOOTH, daily, smoothed
 
@@ -57,19 +60,16 @@ def st04_bootstrap_whole(t: Tables) -> DataFrame:
     return st04_bootstrap(t)
 
 
-def _hashed_ci(rows: DataFrame, draws: int = R.BOOTSTRAPS) -> DataFrame:
-    """By the multiplicities that the SQL draws, for the lengths that the series have."""
-    i, b = F.col("i").cast("string"), F.col("draw").cast("string")
-    times = (F.conv(F.substring(F.md5(F.concat(b, F.lit("-"), i).cast("binary")), 1, 4), 16, 10).cast("int") % 3).alias("times")
-    lengths = rows.groupBy("user_id").agg(F.count("*").cast("int").alias("n")).select("n").distinct()
-    drawn = lengths.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("n", "draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return R.bootstrap_ci(rows, "user_id", "t", "y", drawn.select("n", "draw", "i", times).filter("times > 0"))
+def _hashed_ci(rows: DataFrame) -> DataFrame:
+    """By the multiplicities that the SQL draws."""
+    return fits.bootstrap_limits(rows, "user_id", "t", "y", fits.hashed_times)
 
 
 def _seeded_ci(rows: DataFrame) -> DataFrame:
-    """By the seeded generator, for the lengths that the series have: as many as a series may have points."""
-    lengths = rows.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("n").distinct().collect()
-    return R.bootstrap_ci(rows, "user_id", "t", "y", R.multiplicities(rows.sparkSession, sorted(r.n for r in lengths)))
+    """By the seeded generator, for series with enough points."""
+    limits = fits.bootstrap_limits(rows, "user_id", "t", "y")
+    enough = rows.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("user_id")
+    return limits.join(enough, "user_id", "left_semi")
 
 
 @query()
@@ -119,7 +119,28 @@ _EXP = (
 @query(f"WITH {SERIES}, {_POST}, {_BASE}, {_EXP} SELECT * FROM ex")
 def st06_expfit(t: Tables) -> DataFrame:
     base = R.baseline(daily(t), "user_id", "x", F.col("d") < EVENT_DAY).select("user_id", "pre_baseline")
-    return R.fit_exponential(_post(t).join(base, "user_id"), "user_id", "t", "y", "pre_baseline")
+    return fits.fit_grid(_post(t).join(base, "user_id"), "user_id", "t", "y", "pre_baseline")
+
+
+# A scan in steps of a half, then one in steps of a thousandth about its best.
+_SCAN = (
+    f"q AS (SELECT p.user_id, p.t - min(p.t) OVER (PARTITION BY p.user_id) AS t, p.y, b.pre_baseline AS base FROM p JOIN b USING (user_id)), k AS (SELECT user_id, count(*) AS n, min(y) AS ymin, avg(y) AS ymean, min(base) AS base FROM q GROUP BY 1),"
+    f" g AS (SELECT user_id, tau, sum(exp(-t / tau) * (y - base * (1 - exp(-t / tau)))) AS er, sum(exp(-t / tau) ** 2) AS ee, sum((y - base * (1 - exp(-t / tau))) ** 2) AS rr, min(base) AS base FROM q, (SELECT 1 + 0.5 * i AS tau FROM (SELECT unnest(range(0, {_TAUS})) AS i)) GROUP BY 1, 2), h AS (SELECT *, least(greatest(er / ee, 0), base) AS c FROM g),"
+    " w AS (SELECT user_id, CAST(arg_min(tau, rr - 2 * c * er + c * c * ee) AS DOUBLE) AS near FROM h GROUP BY 1), f AS (SELECT q.*, least(greatest(near + i / 1000.0, 1), 60) AS tau FROM q JOIN w USING (user_id), (SELECT unnest(range(-500, 501)) AS i)),"
+    " g2 AS (SELECT user_id, tau, sum(exp(-t / tau) * (y - base * (1 - exp(-t / tau)))) AS er, sum(exp(-t / tau) ** 2) AS ee, sum((y - base * (1 - exp(-t / tau))) ** 2) AS rr, min(base) AS base FROM (SELECT DISTINCT * FROM f) GROUP BY 1, 2), h2 AS (SELECT *, least(greatest(er / ee, 0), base) AS c FROM g2),"
+    " m AS (SELECT user_id, min(rr - 2 * c * er + c * c * ee) AS sse FROM h2 GROUP BY 1), tot AS (SELECT q.user_id, sum((y - ymean) ** 2) AS tot FROM q JOIN k USING (user_id) GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH {SERIES}, {_POST}, {_BASE}, {_SCAN}, z AS (SELECT user_id, n >= {LEAST} AND base > 0 AND ymin BETWEEN 0 AND base AS ok, CASE WHEN tot > 0 THEN 1 - sse / tot ELSE 0 END AS r2 FROM k JOIN m USING (user_id) JOIN tot USING (user_id))"
+    " SELECT user_id, ok AS fitted, CASE WHEN ok THEN r2 >= 0.3 END AS has_tau, CASE WHEN ok THEN round(r2 + 1e-7, 2) + 0.0 END AS r2 FROM z"
+)
+def st06_relaxation(t: Tables) -> DataFrame:
+    """The exponential fit with a continuous tau: what its best value explains, as a dense scan finds it."""
+    base = R.baseline(daily(t), "user_id", "x", F.col("d") < EVENT_DAY).select("user_id", "pre_baseline")
+    found = fits.fit_relaxation(_post(t).join(base, "user_id"), "user_id", "t", "y", "pre_baseline")
+    return found.select("user_id", F.col("r2").isNotNull().alias("fitted"), F.when(F.col("r2").isNotNull(), F.col("tau").isNotNull()).alias("has_tau"), (F.round(F.col("r2") + OFF_EDGE, 2) + 0.0).alias("r2"))
 
 
 @query(
@@ -131,20 +152,20 @@ def st08_recovery(t: Tables) -> DataFrame:
     """The whole detection, of every user: baseline, threshold, curvature valid by the bootstrap's lower limit, smoothed
     sustained crossing after the vertex, exponential fit. Four days stand for a month, and two months for the least
     delay."""
-    post = _post(t)
-    return _recovery(t, R.fit_quadratic(post, "user_id", "t", "y", least=LEAST).join(_gate(post, _hashed_ci(post)), "user_id", "left"))
+    return _recovery(t, _hashed_ci)
 
 
 @query()
 def st08_recovery_bootstrap(t: Tables) -> DataFrame:
     """``st08_recovery`` with the seeded generator's gate."""
-    post = _post(t)
-    return _recovery(t, R.fit_quadratic(post, "user_id", "t", "y", least=LEAST).join(_gate(post, _seeded_ci(post)), "user_id", "left"))
+    return _recovery(t, _seeded_ci)
 
 
-def _recovery(t: Tables, fit: DataFrame) -> DataFrame:
-    """``fit``: user_id, a, vertex, smile_valid."""
-    rows = smoothed(t)
+def _recovery(t: Tables, limits: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``limits`` gives the bootstrap's limits of a series. The series is made once and written; all else reads it."""
+    rows = written(smoothed(t).select("user_id", "d", "x", "smoothed"), "series")
+    post = rows.filter(F.col("d") >= EVENT_DAY).select("user_id", (F.col("d") - EVENT_DAY).cast("double").alias("t"), F.col("x").alias("y")).dropna()
+    fit = R.fit_quadratic(post, "user_id", "t", "y", least=LEAST).join(_gate(post, limits(post)), "user_id", "left")
     base = R.baseline(rows, "user_id", "x", F.col("d") < EVENT_DAY)
     valid = F.coalesce("smile_valid", F.lit(False))
     gates = base.join(fit, "user_id", "left").select("user_id", "pre_baseline", F.least(F.col("pre_baseline") * R.THRESHOLD_SHARE, F.lit(60.0)).alias("threshold"), "a", "vertex", valid.alias("valid"))
@@ -153,7 +174,7 @@ def _recovery(t: Tables, fit: DataFrame) -> DataFrame:
     after = rows.filter(F.col("d") >= EVENT_DAY).join(gates.select("user_id", "threshold", "vertex", "valid"), "user_id").withColumn("month", (F.col("d") - EVENT_DAY) / 4.0)
     late = F.when(F.col("valid") & (F.col("month") >= F.greatest(F.coalesce(F.col("vertex") / 4.0, F.lit(2.0)), F.lit(2.0))), F.col("smoothed"))
     found = sustained_crossing(after.withColumn("late", late), "late", F.col("threshold"), "user_id", "d", F.lit(EVENT_DAY))
-    shape = R.fit_exponential(_post(t).join(base.select("user_id", "pre_baseline"), "user_id"), "user_id", "t", "y", "pre_baseline")
+    shape = fits.fit_grid(post.join(base.select("user_id", "pre_baseline"), "user_id"), "user_id", "t", "y", "pre_baseline")
     joined = gates.join(found, "user_id", "left").join(shape, "user_id", "left")
     return joined.select(
         "user_id", F.lit("Destroyed").alias("damage_class"), F.round(F.col("pre_baseline") + OFF_EDGE, 4).alias("pre_baseline"), F.nullif(F.round((F.col("crossing") - EVENT_DAY) / 4.0, 2), F.lit(0.0)).alias("recovery_months_post_fire"), F.round(F.col("a") * 1e4, 2).alias("smile_curvature"),
