@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as A
 from ..operators import evaluation as E
+from ..operators import models as M
 from .registry import Tables, query
 
 
@@ -47,6 +48,17 @@ def st14_classifier(t: Tables) -> DataFrame:
     return E.cross_validate(rows, {"balance": ["c_acctbal"], "both": ["c_acctbal", "k"]}, "label", "fold", ["logistic", "svm", "forest", "boosted"])
 
 
+@query()
+def st14_three_classes(t: Tables) -> DataFrame:
+    """Macro-F1 of three classes that lie in rings, by model and feature set: mean and deviation over the folds."""
+    k = F.col("c_custkey")
+    a, b = (k % 97) / 48.5 - 1, (k * 31 % 89) / 44.5 - 1
+    r = F.sqrt(a * a + b * b)
+    rows = t.customer.select(a.alias("a"), b.alias("b"), "c_acctbal", F.when(r < 0.5, 0).when(r < 0.9, 1).otherwise(2).alias("y"), (k % 3).cast("int").alias("fold"))
+    found = M.cross_validate_classes(rows, {"position": ["a", "b"], "balance": ["c_acctbal"], "all": ["a", "b", "c_acctbal"]}, "y", "fold", ("logistic", "kernel", "forest"), gamma=1.0)
+    return found.groupBy("features", "model").agg(F.avg("macro_f1").alias("mean_f1"), F.stddev_pop("macro_f1").alias("std_f1"))
+
+
 @query()
 def st16_importance(t: Tables) -> DataFrame:
     rows = t.part.select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), F.length("p_name").cast("double").alias("c"), (F.col("p_size") > 25).cast("double").alias("label"))
