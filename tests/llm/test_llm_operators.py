@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -575,6 +576,74 @@ def test_viterbi_by_force():
         assert html.viterbi(s, m) == list(max(itertools.product((0, 1), repeat=n), key=score))
 
 
+def test_gradient_by_enumeration():
+    r = np.random.default_rng(3)
+    pages = [([[0, 2], [1], [2, 2, 3]], [0, 1, 1]), ([[3], [0, 1]], [1, 0])]
+    w, move = r.normal(size=(4, 2)), r.normal(size=(2, 2))
+
+    def mean(w, move):
+        total = 0.0
+        for feats, gold in pages:
+            score = lambda y: sum(w[f, y[i]].sum() for i, f in enumerate(feats)) + sum(move[y[i - 1], y[i]] for i in range(1, len(y)))  # noqa: E731, B023
+            total += score(gold) - np.logaddexp.reduce([score(y) for y in itertools.product((0, 1), repeat=len(feats))])
+        return total / len(pages)
+
+    for got, x in zip(html.gradient(w, move, pages), (w, move), strict=True):
+        for at in np.ndindex(x.shape):
+            old = x[at]
+            x[at] = old + 1e-6
+            up = mean(w, move)
+            x[at] = old - 1e-6
+            down = mean(w, move)
+            x[at] = old
+            assert got[at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_shared_chains_score_as_features():
+    for seed in range(6000, 6010):
+        chain, _ = html.labelled_chain(seed)
+        m = html.model()
+        assert m.label(chain) == html.viterbi(np.array([m.weights[f].sum(0) for f in html._features(chain)]), m.move)
+
+
+PROSE = "The river rose through the night and the lower fields were under water by dawn. Farmers moved their herds to higher ground."
+MORE = "Nobody was hurt, but two bridges are closed. The council meets on Monday to decide what can be repaired before winter."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div>links</div><div><h1>Title</h1><p>{PROSE}</p></div><div>Copyright</div>", ["Title", PROSE]),
+        (f"<div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>Flood</h1><p>{PROSE}</p><p>{MORE}</p></div><div>Copyright 2020 Valley Paper</div>", ["Flood", PROSE, MORE]),
+        (f"<article><h1>Flood</h1><p>{PROSE}</p><aside>Related stuff</aside><p>{MORE}</p></article>", ["Flood", PROSE, MORE]),
+        (f"<body><div class=x><ul><li><a href=a>A</a><li><a href=b>B</a></ul></div><div class=y><h1>Flood</h1><div>{PROSE}</div><div>{MORE}</div></div><div>&copy; 2021 Paper</div>", ["Flood", PROSE, MORE]),
+        (f"<header><a href=/>Site</a></header><main><h1>Flood</h1><p>{PROSE}</p><h2>After</h2><ul><li>one thing<li>another thing</ul></main><aside>See also</aside><footer>All rights reserved</footer>", ["Flood", PROSE, "After", "one thing", "another thing"]),
+        (f"<div class=post><h1>Flood</h1><p>{PROSE}</p></div><div id=comments><div class=comment><p>{MORE}</p></div></div>", ["Flood", PROSE]),
+        (f"<table><tr><td><a href=a>One</a> <a href=b>Two</a></td><td><h1>Flood</h1><p>{PROSE}<p>{MORE}</td></tr></table>", ["Flood", PROSE, MORE]),
+        (f"<p>{PROSE}</p><p>{MORE}</p>", [PROSE, MORE]),
+    ],
+)
+def test_pages_by_hand(page, want):
+    assert html.main_text(html.model(), page).split("\n\n") == want
+
+
+def test_hostile_pages_take_linear_time():
+    n = 100_000
+    hostile = [
+        '<a b="x ' * n, '<i=">"' * n, "<a" * n + '">', "<a \"'" * n + ">", "<div>x" * n, "<b>" * n + "<td><li>" * n, "<div>" * n + "</span>" * n,
+        "<span><body>" + "<div>" * n + "</span>x" * n, "<![CDATA[>" * n, "&#" + "9" * n + ";", "<p class='" + "a b " * n + "'>x", "<!--" * n, "<script>" * n,
+    ]
+    for page in hostile:
+        began = time.process_time()
+        html.main_text(html.model(), page)
+        # By the square these would take from minutes to hours.
+        assert time.process_time() - began < 30, page[:20]
+
+
+def test_references_of_many_digits():
+    assert [b[1] for b in html.blocks("a &#" + "0" * 6000 + "65; &#" + "9" * 6000 + "; b")] == ["a A \ufffd b"]
+
+
 def test_blocks():
     page = "<body><nav><a href=x>Menu</a></nav><article><h1>T &amp; U</h1><p><b>One\n  two<br>three<p>Four</article><script>no</script><!-- no --><footer>end"
     assert [b[1] for b in html.blocks(page)] == ["Menu", "T & U", "One two three", "Four", "end"]
