@@ -31,8 +31,9 @@ MIN_GROUP = 100
 TAIL = 1e-7
 SMALL_SET = 48
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
-#: Spread that every feature is granted: most are constant over clean text, where a covariance alone would be singular.
-FLOOR = (0.12, 0.35, 0.4, 0.2)
+#: Least spread of each feature: most are constant over clean text, where a covariance alone would be singular. Every
+#: feature can leave the limit behind by itself: at half the lines repeated, or a share of repeated words of 0.47.
+FLOOR = (0.13, 0.3, 0.1, 0.45)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,9 +83,10 @@ def statistics(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def features() -> list[Column]:
-    """Transformed so that clean text is close to symmetric: logs of ratios, and shares stretched near zero."""
+    """Logs of ratios, and of what is left beside the repeats: a few of them count for little, and a text that is mostly
+    lines said before, or comes near the base rule's half of its words, lies far out."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    made = (F.log(chars / words), F.log1p(100 * F.col("n_symbols") / chars), F.log1p(10 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / words))
+    made = (F.log(chars / words), F.log1p(100 * F.col("n_symbols") / chars), -F.log(1 - F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), -F.log(F.greatest(1 - 2 * F.col("n_repeat_words") / words, F.lit(1e-3))))
     return [m.alias(n) for m, n in zip(made, FEATURES, strict=True)]
 
 
@@ -127,6 +129,12 @@ def _moments(x: list[str]) -> list[Column]:
     return out + [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(len(x)) for j in range(i + 1)]
 
 
+def _granted(variance: Column, floor: float) -> Column:
+    """At least the square of ``floor``. A fourth of it is added to any variance, so that no direction is left without
+    scatter where features depend on each other."""
+    return F.greatest(variance + floor**2 / 4, F.lit(floor**2))
+
+
 def _same(group: list[str]) -> Column:
     on = F.col(f"a.{group[0]}").eqNullSafe(F.col(f"b.{group[0]}"))
     for g in group[1:]:
@@ -152,7 +160,7 @@ def _starts(rows: DataFrame, group: list[str], names: list[str], floor: tuple[fl
 
 
 def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row per group: means ``m0…``, inverse covariances ``q0_0…`` (scaled to be consistent, floors added), ``logdet``."""
+    """One row per group: means ``m0…``, inverse covariances ``q0_0…`` (scaled to be consistent, with the least spreads), ``logdet``."""
     p, names = len(x), list(x)
     each, scale = [*group, "start"], consistency(share, p)
     begun, scale_table = _starts(rows, group, names, floor)
@@ -162,7 +170,7 @@ def robust_estimates(rows: DataFrame, group: list[str], x: tuple[str, ...] = FEA
         near = with_distance(rows, now, group, x)
         cut = near.groupBy(*each).agg(F.percentile_approx("d2", share, 1000).alias("cut"))
         got = near.alias("a").join(cut.alias("b"), _same(each)).filter("a.d2 <= b.cut").select("a.*").groupBy(*each).agg(*_moments(names))
-        cov = {f"c{i}_{j}": F.col(f"c{i}_{j}") * scale + (floor[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
+        cov = {f"c{i}_{j}": _granted(F.col(f"c{i}_{i}") * scale, floor[i]) if i == j else F.col(f"c{i}_{j}") * scale for i in range(p) for j in range(i + 1)}
         new = stage(with_precision(got.select(*each, *(f"m{i}" for i in range(p)), *(v.alias(k) for k, v in cov.items())), each, p), "mcd-step")
         fall = new.alias("a").join(now.alias("b"), _same(each)).agg(F.max(F.col("b.logdet") - F.col("a.logdet"))).first()[0]
         release(now)
