@@ -179,7 +179,8 @@ def decompress(data: bytes, compression: int, size: int) -> bytes:
     elif compression == LZW:
         out = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        out = zlib.decompress(data)
+        # No more than the page needs, however much the stream would unfold to.
+        out = zlib.decompressobj().decompress(data, size) if size else b""
     else:
         raise ValueError(f"compression {compression}")
     if len(out) < size:

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -474,6 +475,35 @@ def test_concentration_never_raises_the_determinant(spark):
     assert [got[f"m{i}"] for i in range(4)] == pytest.approx(list(min(ends, key=lambda e: e[0])[1]), abs=0.05)
 
 
+def test_each_feature_rejects_alone(spark):
+    """In a clean group: long words, symbols, one line after every paragraph, runs of words said twice."""
+    clean = [t for t in prose(5, 400, 80) if len(WORD.findall(t)) >= 50]
+    words = [f"{c}{d}{e}o" for c in "bcdfg" for d in "aeiou" for e in "klmnprst"]
+    apart = {
+        "f_length": " ".join(w * 4 for w in words),
+        "f_symbols": " ".join(w + "#" * (i % 2) for i, w in enumerate(words)),
+        "f_lines": "\n".join(" ".join(words[6 * i : 6 * i + 6]) + "\nread on" for i in range(30)),
+        "f_repeats": " ".join(words[:36] + words[36:42] + words[:36] + words[42:110]),
+    }
+    texts = clean + list(apart.values())
+    docs = docs_of(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    made = docs_of(spark, list(apart.values()))
+    rows = quality.statistics(made).select("doc_id", *quality.features()).orderBy("doc_id").collect()
+    for r, name in zip(rows, apart, strict=True):
+        assert all(r[f] == 0 for f in quality.FEATURES[1:] if f != name), (name, r)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(docs).collect()}
+    assert all(got[i] == (False, True) for i in range(len(clean)))
+    assert [got[len(clean) + i] for i in range(4)] == [(False, False)] * 4
+
+
+def test_dependent_features_leave_scatter(spark):
+    """A group of two texts' copies has features that depend wholly on each other; the verdicts are still made."""
+    x = [(1.6, 0.0, 0.0, 0.0)] * 60 + [(1.9, 1.0, 0.5, 2.0)] * 60 + [(1.6, 0.0, 0.05, 0.0)]
+    rows = spark.createDataFrame([("g", *v) for v in x], "g string, " + ", ".join(f"{n} double" for n in quality.FEATURES))
+    d2 = [r.d2 for r in quality.with_distance(rows, quality.robust_estimates(rows, ["g"]), ["g"]).collect()]
+    assert len(d2) == len(x) and all(0 <= v < 1e3 for v in d2) and sum(v > quality._chi2_quantile(1 - quality.TAIL, 4) for v in d2) <= 60
+
+
 def test_small_groups_are_judged(spark):
     """Of 20 rows a source by their language's estimate, of a small language by the corpus's."""
     clean, junk = prose(5, 400, 80), ["### $$$ %%% " + re.sub(" ", "### ", t) for t in prose(6, 60, 80)]
@@ -556,6 +586,18 @@ def test_long_chains_settle(spark):
     assert got == {**{i: 0 for i in range(61)}, 61: 61}
 
 
+def test_inflate_stops_at_the_page(spark):
+    """A stream that would unfold to 200 MB gives the page's bytes; one that ends early is an error of its page."""
+    bomb = zlib.compress(bytes(200 << 20))
+    tracemalloc.start()
+    assert tiff.decompress(bomb, tiff.DEFLATE, 64) == bytes(64)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    assert tiff.decompress(zlib.compress(b""), tiff.DEFLATE, 0) == b""
+    with pytest.raises(ValueError):
+        tiff.decompress(zlib.compress(b"abc"), tiff.DEFLATE, 4)
+
+
 # --- HTML -----------------------------------------------------------------------------------------------------------
 
 
