@@ -9,13 +9,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve by ranks, ties in the middle. Ranks come from counts by distinct score and label, so the
-    ordered window runs over distinct scores, not rows."""
-    counts = scored.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("mid", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    """Area under the curve by ranks, ties in the middle. Ranks come from counts by distinct score, sorted by range and
+    written once; the ordered window runs within a range, and the ranges' totals (a row each) are the offsets."""
+    counts = scored.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
+    placed = written(counts.orderBy("score").withColumn("range", F.shiftright(F.monotonically_increasing_id(), 33)), "auc-scores")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("range").agg(F.sum("n").alias("n")).select("range", before(Window.orderBy("range")).alias("lower"))
+    within = before(Window.partitionBy("range").orderBy("score"))
+    ranked = placed.join(F.broadcast(ranges), "range").withColumn("mid", F.col("lower") + within + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 

@@ -14,17 +14,29 @@ def parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def _renamed(fs, source, target) -> bool:
+    return fs.rename(source, target)
+
+
 def update_in_place(df: DataFrame, path: str) -> None:
-    """Overwrite what ``df`` is read from: write beside it, then rename, so a failed write loses nothing."""
+    """Overwrite what ``df`` is read from: write beside it, then rename, so a failed write loses nothing; where a rename
+    fails, the old table stands again. Between the two renames there is no table at ``path``."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     df.write.parquet(new)
     place = jvm.org.apache.hadoop.fs.Path
     fs = place(path).getFileSystem(conf)
-    if fs.exists(place(path)):
-        fs.rename(place(path), place(old))
-    fs.rename(place(new), place(path))
-    fs.delete(place(old), True)
+    there = fs.exists(place(path))
+    if there and not _renamed(fs, place(path), place(old)):
+        fs.delete(place(new), True)
+        raise OSError(f"{path} could not be moved aside; it is unchanged")
+    if not _renamed(fs, place(new), place(path)):
+        if there and not fs.rename(place(old), place(path)):
+            raise OSError(f"{path} could not be replaced: the old table is at {old}, the new one at {new}")
+        fs.delete(place(new), True)
+        raise OSError(f"{path} could not be replaced; it is unchanged")
+    if there:
+        fs.delete(place(old), True)
 
 
 def merge_column(df: DataFrame, extra: DataFrame, key: str, column: str, path: str, order: list[str] | None = None) -> None:

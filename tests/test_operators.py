@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrashift.operators import joins, recovery, series
+from terrashift.operators import evaluation, joins, recovery, series
 from terrashift.sources import readers, shapefile, sinks
 
 
@@ -189,3 +189,33 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("crossed").collect()] == [("a", 3)]
+
+
+def test_auc_by_pairs(spark):
+    """Half of ties count; more distinct scores than a range holds."""
+    r = random.Random(8)
+    rows = [(r.choice((r.random(), round(r.random(), 1))), int(r.random() < 0.3)) for _ in range(400)]
+    scored = spark.createDataFrame(rows, "s double, y int").repartition(5)
+    up, down = [s for s, y in rows if y], [s for s, y in rows if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in up for b in down) / (len(up) * len(down))
+    assert evaluation.auc(scored, "s", "y").first().auc == pytest.approx(want)
+    assert evaluation.auc(scored.filter("y = 1"), "s", "y").first().auc is None
+    assert evaluation.auc(scored.limit(0), "s", "y").first().auc is None
+
+
+@pytest.mark.parametrize("failing", [1, 2])
+def test_failed_rename_keeps_the_table(spark, tmp_path, monkeypatch, failing):
+    path, calls = str(tmp_path / "t"), []
+
+    def renamed(fs, source, target):
+        calls.append(source)
+        return len(calls) != failing and fs.rename(source, target)
+
+    spark.range(3).write.parquet(path)
+    monkeypatch.setattr(sinks, "_renamed", renamed)
+    with pytest.raises(OSError, match="unchanged"):
+        sinks.update_in_place(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    failing = 0
+    sinks.update_in_place(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
