@@ -79,6 +79,20 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def bitmap(bits: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of ``n`` bits in which those that the one column of ``bits`` names are set. Tasks combine bits to words
+    of 64 before the shuffle, so the driver gets n / 64 words at most, however many rows there are."""
+    at = F.col(bits.columns[0])
+    words = bits.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bits.columns[0]} & 63 as int))")).alias("set")).toArrow()
+    out = np.zeros(n // 64, np.int64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def flat_binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The values of a binary column without nulls in one array, and how many each row has."""
     if not len(column):

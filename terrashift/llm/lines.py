@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, flat_binary, release, row_key, small_batches, stage, with_row
+from .common import bitmap, documents, flat_binary, in_bitmap, release, row_key, small_batches, stage, with_row
 from .words import Words, mix
 
 PERCENT = 80
@@ -167,25 +167,20 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs a, b of classes those whose full sets are alike enough, staged. The sets come from the texts again."""
     place = classes.select("node", F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("line").alias("l"))
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(place, "node"), "lines-wanted")
-    shared = None
-    if wanted.count() <= FILTER_BITS // 8:
-        # Bitmaps of fixed size spare other texts and lines the work; the join that follows decides.
-        at = wanted.select(F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("text"), F.col("k").bitwiseXOR(F.col("l").cast("long") * 40503).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("line")).toArrow()
-        bits = np.zeros((2, FILTER_BITS // 8), np.uint8)
-        for row, bit in zip(bits, (at["text"].to_numpy(), at["line"].to_numpy()), strict=True):
-            np.bitwise_or.at(row, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
-        shared = pairs.sparkSession.sparkContext.broadcast(bits)
+    # Bitmaps of fixed size spare other texts and lines the work; the join that follows decides. Texts take the first
+    # half of the bits, lines the second.
+    mask = F.lit(FILTER_BITS - 1)
+    text, line = F.col("k").bitwiseAND(mask), F.col("k").bitwiseXOR(F.col("l").cast("long") * 40503).bitwiseAND(mask) + FILTER_BITS
+    shared = pairs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.explode(F.array(text, line)).alias("bit")), 2 * FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marked(row: int, value: np.ndarray) -> np.ndarray:
-            bit = value & (FILTER_BITS - 1)
-            return (shared.value[row][bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        def marked(half: int, value: np.ndarray) -> np.ndarray:
+            return in_bitmap(shared.value, (value & (FILTER_BITS - 1)) + half * FILTER_BITS)
 
         for b in batches:
-            if shared is not None:
-                b = b.take(pa.array(np.flatnonzero(marked(0, b.column("key").to_numpy()))))
+            b = b.take(pa.array(np.flatnonzero(marked(0, b.column("key").to_numpy()))))
             key = b.column("key").to_numpy()
-            s = Sets(b.column("text"), wanted=shared and (lambda row, line, key=key: marked(1, key[row] ^ line.astype(np.int64) * 40503)))
+            s = Sets(b.column("text"), wanted=lambda row, line, key=key: marked(1, key[row] ^ line.astype(np.int64) * 40503))
             row = pa.array(s.row)
             ends = np.concatenate(([0], np.cumsum(8 * s.n))).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(s.n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s.tokens))])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, release, row_key, small_batches, stage, with_row
+from .common import bitmap, documents, in_bitmap, release, row_key, small_batches, stage, with_row
 from .words import Words
 
 BANDS, ROWS = 32, 6
@@ -160,19 +160,12 @@ def prune(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """node, set: the full shingle sets of ``nodes``, from the texts again."""
     wanted = stage(classes.join(nodes, "node").select("node", "first_id", "first_key"), "minhash-wanted")
-    shared = None
-    if wanted.count() <= FILTER_BITS // 8:
-        # A bitmap of fixed size spares the texts of other rows the shuffle; the join that follows decides.
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        at = wanted.select(F.pmod("first_key", F.lit(FILTER_BITS)).alias("bit")).toArrow()["bit"].to_numpy()
-        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        shared = docs.sparkSession.sparkContext.broadcast(bits)
+    # A bitmap of fixed size spares the texts of other rows the shuffle; the join that follows decides.
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.pmod("first_key", F.lit(FILTER_BITS)).alias("bit")), FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if shared is not None:
-                bit = b.column("key").to_numpy() % FILTER_BITS
-                b = b.take(pa.array(np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)))
+            b = b.take(pa.array(np.flatnonzero(in_bitmap(shared.value, b.column("key").to_numpy() % FILTER_BITS))))
             out = [s.tobytes() for s in shingle_sets_of(b.column("text"), k)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(out, pa.binary())], ["doc_id", "key", "set"])
 

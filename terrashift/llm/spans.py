@@ -106,13 +106,13 @@ def _at() -> Column:
 
 def covered(docs: DataFrame, lone: int | None = None, used: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, key, sentences: positions that a repeated span's later place covers, for texts that have any. ``lone``:
-    as for ``spans``; ``used`` gets the staged table that the result reads."""
-    rows = span_rows(docs, lone)
+    as for ``spans``; ``used`` gets the staged tables that the result reads."""
+    rows = stage(span_rows(docs, lone), "spans-rows")
     # Sums by task come before the shuffle, so a passage in every document is a row a task.
     seen = rows.groupBy("h1", "h2").agg(F.min(_at()).alias("first"), F.max(_at()).alias("last"))
     repeated = stage(seen.filter(F.col("first") != F.col("last")).select("h1", "h2", "first"), "spans-repeated")
     if used is not None:
-        used.append(repeated)
+        used += [rows, repeated]
     later = rows.join(repeated, ["h1", "h2"]).filter(_at() != F.col("first"))
     later = later.select("doc_id", "key", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("s"))
     return later.groupBy("doc_id", "key").agg(F.collect_set("s").alias("sentences"))

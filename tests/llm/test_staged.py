@@ -2,8 +2,11 @@
 
 from pathlib import Path
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from terrashift.llm.common import recording, release, stage, sweep
+from terrashift.llm.common import bitmap, in_bitmap, recording, release, stage, sweep
 
 
 def folders(spark):
@@ -28,3 +31,12 @@ def test_sweep_keeps_what_is_read(spark):
     sweep(tables, a.filter("id > 0"))
     assert tables == [a] and a.count() == 3 and not any(x.startswith("sweep-4") or x.startswith("sweep-5") for x in folders(spark))
     release(a, outside)
+
+
+def test_bitmap(spark):
+    n = 1 << 12
+    rows = spark.range(0, 40_000, numPartitions=5).select(F.pmod(F.xxhash64("id") % 500 * 37, F.lit(n)).alias("bit"))
+    want = {r.bit for r in rows.collect()}
+    got = in_bitmap(bitmap(rows, n), np.arange(n))
+    assert set(np.flatnonzero(got).tolist()) == want
+    assert not bitmap(rows.limit(0), n).any() and bitmap(spark.range(n).withColumnRenamed("id", "bit"), n).min() == 255
