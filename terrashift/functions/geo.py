@@ -31,6 +31,27 @@ def centroid(ring: Column) -> Column:
     return F.struct(F.try_divide(sx, a).alias("x"), F.try_divide(sy, a).alias("y"))
 
 
+def polygon_area(rings: Column) -> Column:
+    """Of the first ring less the others, its holes; zero for a polygon without rings."""
+    part = lambda r, i: F.when(i == 0, area(r)).otherwise(-area(r))
+    return F.aggregate(F.transform(rings, part), F.lit(0.0), lambda s, v: s + v)
+
+
+def polygon_centroid(rings: Column) -> Column:
+    """Centre of the first ring less the others, its holes; null for a polygon without area. Rings without area count nothing."""
+
+    def moment(c: str) -> Column:
+        part = lambda r, i: F.coalesce(F.when(i == 0, area(r)).otherwise(-area(r)) * centroid(r)[c], F.lit(0.0))
+        return F.try_divide(F.aggregate(F.transform(rings, part), F.lit(0.0), lambda s, v: s + v), polygon_area(rings))
+
+    return F.struct(moment("x").alias("x"), moment("y").alias("y"))
+
+
+def outer_rings(parts: Column) -> Column:
+    """The first ring of each polygon of several; polygons without rings are left out."""
+    return F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: p[0])
+
+
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Crossing parity of a ray to the right."""
     crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce(x < F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"], F.lit(False))

@@ -39,6 +39,15 @@ def merge_first(base: DataFrame, extra: DataFrame, key: str, column: str, order:
     return base.join(first.select(key, F.col(f"__first.{column}").alias(column)), key, "left")
 
 
+def first_present(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Sparse rows merged to one row a key: of each other column the first value in ``order`` that isn't null, null where
+    all are. Columns are taken each by itself, so a row may give some and not others. Rows that tie in ``order`` give
+    the lesser value."""
+    others = [c for c in df.columns if c not in keys and c not in order]
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order, c))
+    return df.groupBy(*keys).agg(*(F.min_by(c, at(c)).alias(c) for c in others))
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: Column) -> DataFrame:
     """``value`` of the key; ``default`` for a key that the table lacks, not for a null that it holds."""
     marked = table.select(key, value).withColumn("__found", F.lit(True))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.batches import numbered
+from ..operators.joins import first_present
 from .registry import Tables, query
 
 
@@ -61,6 +62,19 @@ def agg07_coalesce_rows(t: Tables) -> DataFrame:
     return merged.select("l_partkey", "y", F.round("discount", 6).alias("discount"), F.round("tax", 6).alias("tax"), "n")
 
 
+@query(
+    "WITH s AS (SELECT l_partkey, CAST(year(l_shipdate) AS BIGINT) AS y, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_discount END AS discount, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END AS tax, CASE WHEN l_returnflag = 'R' THEN l_quantity END AS quantity FROM lineitem)"
+    " SELECT l_partkey, y, first(discount ORDER BY l_orderkey, l_linenumber, discount) FILTER (WHERE discount IS NOT NULL) AS discount, first(tax ORDER BY l_orderkey, l_linenumber, tax) FILTER (WHERE tax IS NOT NULL) AS tax, first(quantity ORDER BY l_orderkey, l_linenumber, quantity) FILTER (WHERE quantity IS NOT NULL) AS quantity FROM s GROUP BY 1, 2"
+)
+def agg07_first_present(t: Tables) -> DataFrame:
+    """Rows that hold some metrics each, with several values a cell: of each metric the first value present, by order and line."""
+    n = F.col("l_linenumber")
+    sparse = t.lineitem.select(
+        "l_partkey", F.year("l_shipdate").cast("long").alias("y"), "l_orderkey", "l_linenumber", F.when(n % 2 == 0, F.col("l_discount")).alias("discount"), F.when(n % 3 != 0, F.col("l_tax")).alias("tax"), F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("quantity")
+    )
+    return first_present(sparse, ["l_partkey", "y"], ["l_orderkey", "l_linenumber"])
+
+
 @query(
     "WITH f AS (SELECT o_custkey, min(o_orderdate) AS first_date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate > TIMESTAMP '1996-01-01' GROUP BY 1)"
     " SELECT o_custkey, first_date, nullif(round(date_diff('day', TIMESTAMP '1996-01-01', first_date) / 30.44, 1), 0) AS months FROM f"

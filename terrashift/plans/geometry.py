@@ -22,6 +22,24 @@ def triangles(t: Tables) -> DataFrame:
     return t.customer.select(k.alias("k"), F.array(_point(x, y), _point(x + s, y + 1), _point(x + 2, y + s)).alias("ring"))
 
 
+@query(
+    "SELECT k, CAST(2 AS BIGINT) AS n_parts, round(1.5 * h * h, 6) AS outer_area, round(1.5 * h * h - 4, 6) AS net_area, round((h * h * (x + h / 2) - 4 * (x + 2)) / (h * h - 4), 6) AS cx, round((h * h * (y + h / 2) - 4 * (y + 2)) / (h * h - 4), 6) AS cy, x AS west, x + 500 + h AS east"
+    " FROM (SELECT c_custkey AS k, CAST(c_custkey * 37 % 400 AS DOUBLE) AS x, CAST(c_custkey * 53 % 400 AS DOUBLE) AS y, CAST(4 + c_custkey % 7 AS DOUBLE) AS h FROM customer)"
+)
+def fn_multipolygon(t: Tables) -> DataFrame:
+    """A square with a hole and a triangle for each customer: outer rings, their bounds, areas less holes, and the centre of
+    the part with the hole."""
+    k = F.col("c_custkey")
+    x, y, h = k * 37 % 400, k * 53 % 400, 4 + k % 7
+    square = lambda a, b, s: F.array(_point(a, b), _point(a + s, b), _point(a + s, b + s), _point(a, b + s))
+    triangle = F.array(_point(x + 500, y), _point(x + 500 + h, y), _point(x + 500, y + h))
+    made = t.customer.select(k.alias("k"), F.array(F.array(square(x, y, h), square(x + 1, y + 1, F.lit(2))), F.array(triangle)).alias("parts"))
+    made = made.withColumn("outer", G.outer_rings(F.col("parts"))).withColumn("first", F.element_at("parts", 1))
+    total = lambda rings, f: F.aggregate(F.transform(rings, f), F.lit(0.0), lambda s, v: s + v)
+    c, xs = G.polygon_centroid(F.col("first")), F.transform(F.flatten("outer"), lambda p: p["x"])
+    return made.select("k", F.size("outer").cast("long").alias("n_parts"), F.round(total("outer", G.area), 6).alias("outer_area"), F.round(total("parts", G.polygon_area), 6).alias("net_area"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"), F.array_min(xs).alias("west"), F.array_max(xs).alias("east"))
+
+
 _SIDE = "sign((a.g.x2 - a.g.x1) * ({y} - a.g.y1) - (a.g.y2 - a.g.y1) * ({x} - a.g.x1))"
 _B = "sign((b.g.x2 - b.g.x1) * ({y} - b.g.y1) - (b.g.y2 - b.g.y1) * ({x} - b.g.x1))"
 _MEET = (

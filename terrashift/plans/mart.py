@@ -17,6 +17,9 @@ _STG = (
     " lidar AS (SELECT p_partkey AS parcel_idx, p_size AS chm FROM part WHERE p_size <= 40), parcels AS (SELECT p_partkey - 1 AS parcel_row, p_partkey AS parcel_idx, p_brand FROM part)"
 )
 
+# Without what keeps some rows only.
+_STG_WHOLE = _STG.replace("l_returnflag = 'R'", "true").replace("l_linestatus = 'O'", "true").replace("p_size <= 40", "true")
+
 
 def stg_sar(t: Tables, keep: str = "l_returnflag = 'R'") -> DataFrame:
     return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(0 - F.col("l_tax") * 100).alias("vv_change_db_mean"), F.count("*").alias("vv_pixel_count"))
@@ -48,12 +51,15 @@ def int_ndvi(landsat: DataFrame, dates: list[str]) -> DataFrame:
     return landsat.groupBy("parcel_idx").agg(*(F.max(F.when(F.col("observation_date") == d, F.col("ndvi_mean"))).alias(f"ndvi_{d}") for d in dates))
 
 
-@query(f"WITH {_STG} SELECT parcel_idx, round(max(CASE WHEN observation_date = '1996' THEN ndvi END), 6) AS ndvi_1996, round(max(CASE WHEN observation_date = '1998' THEN ndvi END), 6) AS ndvi_1998 FROM landsat GROUP BY 1")
+_NDVI = "SELECT parcel_idx, round(max(CASE WHEN observation_date = '1996' THEN ndvi END), 6) AS ndvi_1996, round(max(CASE WHEN observation_date = '1998' THEN ndvi END), 6) AS ndvi_1998 FROM landsat GROUP BY 1"
+
+
+@query(f"WITH {_STG} {_NDVI}")
 def mart_ndvi_series(t: Tables) -> DataFrame:
     return _ndvi_series(stg_landsat(t))
 
 
-@query()
+@query(f"WITH {_STG_WHOLE} {_NDVI}")
 def mart_ndvi_series_whole(t: Tables) -> DataFrame:
     """``mart_ndvi_series`` over every key."""
     return _ndvi_series(stg_landsat(t, "true"))
@@ -64,18 +70,21 @@ def _ndvi_series(landsat: DataFrame) -> DataFrame:
     return wide.select("parcel_idx", F.round("ndvi_1996", 6).alias("ndvi_1996"), F.round("ndvi_1998", 6).alias("ndvi_1998"))
 
 
-@query(
-    f"WITH {_STG}, ndvi AS (SELECT parcel_idx, max(CASE WHEN observation_date = '1996' THEN ndvi END) AS ndvi_1996 FROM landsat GROUP BY 1)"
+_STAR = (
+    "ndvi AS (SELECT parcel_idx, max(CASE WHEN observation_date = '1996' THEN ndvi END) AS ndvi_1996 FROM landsat GROUP BY 1)"
     " SELECT p.parcel_idx, p.p_brand, s.observation_date, round(s.vv, 6) AS vv_change_db, CASE WHEN s.vv > -2 THEN 'minimal_change' WHEN s.vv BETWEEN -4 AND -2 THEN 'moderate_loss' WHEN s.vv < -4 THEN 'severe_loss' ELSE 'unknown' END AS sar_change_class, CASE WHEN s.px >= 6 THEN 'high' WHEN s.px >= 4 THEN 'medium' ELSE 'low' END AS sar_confidence, round(l.dnbr, 6) AS dnbr, CASE WHEN l.dnbr >= 0.66 THEN 'high_severity' WHEN l.dnbr >= 0.44 THEN 'moderate_high_severity' WHEN l.dnbr >= 0.27 THEN 'moderate_low_severity' WHEN l.dnbr >= 0.1 THEN 'low_severity' WHEN l.parcel_idx IS NOT NULL THEN 'unburned' END AS burn_severity, round(n.ndvi_1996, 6) AS ndvi_1996, d.chm AS chm_max"
     " FROM parcels p LEFT JOIN sar s ON s.parcel_idx = p.parcel_idx LEFT JOIN landsat l ON l.parcel_idx = p.parcel_idx AND l.observation_date = s.observation_date LEFT JOIN ndvi n ON n.parcel_idx = p.parcel_idx LEFT JOIN lidar d ON d.parcel_idx = p.parcel_idx"
 )
+
+
+@query(f"WITH {_STG}, {_STAR}")
 def jn04_star_mart(t: Tables) -> DataFrame:
     """Parcels with four left joins; the optical edge takes its date from the radar row, so a parcel without radar has
     no optical values either. A parcel without radar still has a confidence, of null pixels: low."""
     return _star_mart(t, stg_sar(t), stg_landsat(t), stg_lidar(t))
 
 
-@query()
+@query(f"WITH {_STG_WHOLE}, {_STAR}")
 def jn04_star_mart_whole(t: Tables) -> DataFrame:
     """``jn04_star_mart`` over every key: a miss is a parcel without observations, not a key left out."""
     return _star_mart(t, stg_sar(t, "true"), stg_landsat(t, "true"), stg_lidar(t, "true"))

@@ -63,7 +63,7 @@ def jn01_left(t: Tables) -> DataFrame:
     return t.orders.join(t.customer.filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
 
 
-@query()
+@query("SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
 def jn01_left_whole(t: Tables) -> DataFrame:
     """Over every customer: a miss is an order without a customer."""
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")

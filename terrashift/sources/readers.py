@@ -41,17 +41,19 @@ def clean_csv(spark: SparkSession, path: str, keys: tuple[str, ...] = (), number
 GEOMETRY = "type string, coordinates string"
 
 
-def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+def geojson(spark: SparkSession, path: str, properties: str, parts: bool = False) -> DataFrame:
     """One row per feature: its properties, ``geometry_type`` and ``rings`` (array of rings of points). Of several
-    polygons all rings are kept, in order."""
+    polygons all rings are kept, in order; with ``parts`` the column of that name has them by polygon."""
     schema = f"type string, features array<struct<properties struct<{properties}>, geometry struct<type string, coordinates string>>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
     c = F.col("f.geometry.coordinates")
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     single = F.from_json(c, "array<array<array<double>>>")
-    several = F.flatten(F.from_json(c, "array<array<array<array<double>>>>"))
-    rings = F.when(F.col("f.geometry.type") == "Polygon", single).when(F.col("f.geometry.type") == "MultiPolygon", several)
-    return rows.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.transform(rings, lambda r: F.transform(r, point)).alias("rings"))
+    several = F.from_json(c, "array<array<array<array<double>>>>")
+    polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(single)).when(F.col("f.geometry.type") == "MultiPolygon", several)
+    polygons = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, point)))
+    both = [F.flatten(polygons).alias("rings"), polygons.alias("parts")]
+    return rows.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), *both[: 1 + parts])
 
 
 def properties_only(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -121,6 +123,13 @@ def synthetic(spark: SparkSession, parcels: int, dates: list[str], seed: int = 4
     return base.select("parcel_id", F.explode(F.array(*map(F.lit, dates))).alias("observation_date")).withColumns({"vv_change_db": F.randn(seed) * 2 - 1, "ndvi": F.rand(seed + 1), "dnbr": F.rand(seed + 2)})
 
 
+def grid(spark: SparkSession, west: float, south: float, columns: int, rows: int, step: float = 0.001) -> DataFrame:
+    """parcel_id and ring of square cells, row by row from the south-west corner; made by tasks, a range of cells each."""
+    x, y = west + (F.col("id") % columns) * step, south + F.floor(F.col("id") / columns) * step
+    corner = lambda a, b: F.struct((x + a * step).alias("x"), (y + b * step).alias("y"))
+    return spark.range(columns * rows).select(F.col("id").alias("parcel_id"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """Name and type of each column, as rows."""
     return df.sparkSession.createDataFrame(df.dtypes, "col_name string, data_type string")
