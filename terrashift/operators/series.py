@@ -22,6 +22,19 @@ def whole(key: str):
     return Window.partitionBy(key)
 
 
+def ordered_means(table: DataFrame, keys: dict[str, Column], values: dict[str, Column], counted: str | None = None) -> DataFrame:
+    """One row a key with the means of ``values`` and, as ``counted``, its rows, added up in the order of the files' rows.
+
+    A sum of floats depends on its order, in its last digits, and a threshold or a floor behind it makes that another row.
+    So partial sums won't do: the rows of a key are sorted (which spills) and added one by one, as a plain scan does.
+    ``table`` is read from files, filters allowed."""
+    rows = table.select(*(c.alias(k) for k, c in keys.items()), *(c.alias(k) for k, c in values.items()), F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    order = Window.partitionBy(*keys).orderBy("__file", "__row")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    added = rows.select(*keys, *(F.avg(k).over(every).alias(k) for k in values), *([F.count(F.lit(1)).over(every).alias(counted)] if counted else []), F.row_number().over(order).alias("__n"))
+    return added.filter("__n = 1").drop("__n")
+
+
 def dense_grid(rows: DataFrame, key: str, idx: str, low: int, high: int, keys: DataFrame | None = None) -> DataFrame:
     """A row for each key and index in [low, high]; columns of ``rows`` are null where it has none. The index range is
     a small array per key, so this is no cross join."""

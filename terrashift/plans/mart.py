@@ -6,10 +6,11 @@ parcel and observation date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..operators.series import ordered_means
 from .registry import Tables, query
 
 _STG = (
@@ -21,12 +22,16 @@ _STG = (
 _STG_WHOLE = _STG.replace("l_returnflag = 'R'", "true").replace("l_linestatus = 'O'", "true").replace("p_size <= 40", "true")
 
 
+def _dated() -> dict[str, Column]:
+    return {"parcel_idx": F.col("l_partkey"), "observation_date": F.year("l_shipdate").cast("string")}
+
+
 def stg_sar(t: Tables, keep: str = "l_returnflag = 'R'") -> DataFrame:
-    return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(0 - F.col("l_tax") * 100).alias("vv_change_db_mean"), F.count("*").alias("vv_pixel_count"))
+    return ordered_means(t.lineitem.filter(keep), _dated(), {"vv_change_db_mean": 0 - F.col("l_tax") * 100}, "vv_pixel_count")
 
 
 def stg_landsat(t: Tables, keep: str = "l_linestatus = 'O'") -> DataFrame:
-    return t.lineitem.filter(keep).groupBy(F.col("l_partkey").alias("parcel_idx"), F.year("l_shipdate").cast("string").alias("observation_date")).agg(F.avg(F.col("l_discount") * 8).alias("dnbr_mean"), F.avg(F.col("l_quantity") / 50).alias("ndvi_mean"))
+    return ordered_means(t.lineitem.filter(keep), _dated(), {"dnbr_mean": F.col("l_discount") * 8, "ndvi_mean": F.col("l_quantity") / 50})
 
 
 def stg_lidar(t: Tables, keep: str = "p_size <= 40") -> DataFrame:
