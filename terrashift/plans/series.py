@@ -45,8 +45,8 @@ SMOOTH = (
 def daily(t: Tables) -> DataFrame:
     """user_id, d, x: a row for every user and day."""
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    means = t.events.groupBy("user_id", day.alias("d")).agg(F.avg("value").alias("x"))
-    return S.dense_grid(means, "user_id", "d", 0, DAYS - 1)
+    means = S.ordered_means(t.events, {"user_id": F.col("user_id"), "d": day}, {"x": F.col("value")})
+    return S.dense_grid(means, "user_id", "d", 0, DAYS - 1, t.events.select("user_id"))
 
 
 def smoothed(t: Tables) -> DataFrame:
