@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..staging import deleted, written
+from .batches import spread
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -32,10 +33,10 @@ def _sides(df: DataFrame, key: str, rings: str, digits: int) -> DataFrame:
     tidy = F.array_distinct(F.transform(rings, lambda r: G.once(F.transform(r, lambda p: _point(F.round(p["x"], digits), F.round(p["y"], digits))))))
     listed = df.select(F.col(key).alias("k"), F.posexplode(tidy).alias("ring", "points")).select("k", "ring", F.posexplode(G._edges(F.col("points"))).alias("i", "e"))
     sides = listed.select("k", (F.shiftleft(F.col("ring").cast("long"), 32) + F.col("i")).alias("id"), "e.*").filter("x1 <> x2 or y1 <> y2")
-    low, high = lambda c: F.min(F.least(f"{c}1", f"{c}2")), lambda c: F.max(F.greatest(f"{c}1", f"{c}2"))
+    own = Window.partitionBy("k")
+    low, high = lambda c: F.min(F.least(f"{c}1", f"{c}2")).over(own), lambda c: F.max(F.greatest(f"{c}1", f"{c}2")).over(own)
     size = F.greatest(high("x") - low("x"), high("y") - low("y"))
-    grids = sides.groupBy("k").agg(low("x").alias("gx"), low("y").alias("gy"), (size / F.ceil(F.sqrt(F.count(F.lit(1)).cast("double")))).alias("cell"))
-    return sides.join(grids, "k")
+    return sides.withColumns({"gx": low("x"), "gy": low("y"), "cell": size / F.ceil(F.sqrt(F.count(F.lit(1)).over(own).cast("double")))})
 
 
 def _cuts(sides: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def _cuts(sides: DataFrame) -> DataFrame:
     # A pair is taken in the cell of the lower left corner of what both boxes share.
     here = (F.floor((low("x") - c("a.gx")) / c("a.cell")) == c("a.cx")) & (F.floor((low("y") - c("a.gy")) / c("a.cell")) == c("a.cy"))
     meet = (c("a.k") == c("b.k")) & (c("a.cx") == c("b.cx")) & (c("a.cy") == c("b.cy")) & (c("a.id") < c("b.id"))
-    pairs = a.join(b, meet).filter((low("x") <= high("x")) & (low("y") <= high("y")) & here)
+    pairs = a.join(b.hint("merge"), meet).filter((low("x") <= high("x")) & (low("y") <= high("y")) & here)
     dx, dy, sx, sy = c("a.x2") - c("a.x1"), c("a.y2") - c("a.y1"), c("b.x2") - c("b.x1"), c("b.y2") - c("b.y1")
     ex, ey = c("b.x1") - c("a.x1"), c("b.y1") - c("a.y1")
     den, long = dx * sy - dy * sx, F.sqrt((dx * dx + dy * dy) * (sx * sx + sy * sy))
@@ -74,7 +75,7 @@ def _pieces(sides: DataFrame, cuts: DataFrame) -> DataFrame:
     along = lambda p: F.struct(((p["x"] - F.col("x1")) * dx + (p["y"] - F.col("y1")) * dy).alias("t"), p.alias("p"))
     points = F.concat(F.array(_point(F.col("x1"), F.col("y1")), _point(F.col("x2"), F.col("y2"))), F.coalesce("cuts", F.expr("cast(array() as array<struct<x:double,y:double>>)")))
     ordered = F.transform(F.array_sort(F.transform(F.array_distinct(points), along)), lambda s: s["p"])
-    full = sides.join(cuts.groupBy("k", "id").agg(F.collect_list("p").alias("cuts")), ["k", "id"], "left").select("k", "gx", "gy", "cell", ordered.alias("o"))
+    full = sides.join(cuts.groupBy("k", "id").agg(F.collect_list("p").alias("cuts")).hint("merge"), ["k", "id"], "left").select("k", "gx", "gy", "cell", ordered.alias("o"))
     between = F.zip_with(F.slice("o", F.lit(1), F.size("o") - 1), F.slice("o", F.lit(2), F.size("o") - 1), lambda p, q: F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")))
     each = full.select("k", "gx", "gy", "cell", F.inline(between)).filter("lo <> hi")
     return each.groupBy("k", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.first("gx").alias("gx"), F.first("gy").alias("gy"), F.first("cell").alias("cell")).filter("n % 2 = 1").drop("n")
@@ -97,7 +98,7 @@ def _directed(pieces: DataFrame) -> DataFrame:
         place = F.col(f"a.{across}") + F.try_divide((F.col("m") - a) * (F.col(f"b.{across}") - F.col(f"a.{across}")), b - a)
         beyond = (place < F.col("h")) if upright else (place > F.col("h"))
         hit = ((a > F.col("m")) != (b > F.col("m"))) & beyond & ((F.col("a") != F.col("lo")) | (F.col("b") != F.col("hi")))
-        counted = own.join(every, ["k", "strip"]).groupBy("k", "lo", "hi").agg(F.count(F.when(hit, 1)).alias("n"))
+        counted = own.join(every.hint("merge"), ["k", "strip"]).groupBy("k", "lo", "hi").agg(F.count(F.when(hit, 1)).alias("n"))
         some = counted.select("k", F.when(F.col("n") % 2 == 1, F.struct(F.col("lo").alias("p"), F.col("hi").alias("q"))).otherwise(F.struct(F.col("hi").alias("p"), F.col("lo").alias("q"))).alias("s")).select("k", "s.*")
         out = some if out is None else out.union(some)
     return out
@@ -137,8 +138,9 @@ def repair(df: DataFrame, key: str, rings: str, digits: int = 9) -> DataFrame:
 
     Sides that cross are found by cells of a grid over each polygon and cut there; of pieces run over twice nothing
     remains; the inside is put on the left; pieces make rings. Coordinates are rounded to ``digits`` places. Null and empty
-    rings give no ring and area 0; ``key`` has one row a value."""
-    sides = written(_sides(df, key, rings, digits), "repair-sides")
+    rings give no ring and area 0; ``key`` has one row a value. Joins are merged: what is written here compresses so well
+    that its size on disk would have it broadcast, whole, through the driver."""
+    sides = written(_sides(spread(df, key), key, rings, digits), "repair-sides")
     pieces = written(_pieces(sides, _cuts(sides)), "repair-pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ def repair(df: DataFrame, key: str, rings: str, digits: int = 9) -> DataFrame:
     gathered = _directed(pieces).groupBy("k").agg(F.collect_list(F.struct("p", "q")).alias("s"))
     made = written(gathered.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, rings {RINGS}"), "repair-rings")
     deleted(sides, pieces)
-    whole = df.select(F.col(key).alias("k")).join(made, "k", "left").withColumn("rings", F.coalesce("rings", F.expr(f"cast(array() as {RINGS})")))
+    whole = df.select(F.col(key).alias("k")).join(made.hint("merge"), "k", "left").withColumn("rings", F.coalesce("rings", F.expr(f"cast(array() as {RINGS})")))
     return whole.select(F.col("k").alias(key), "rings", F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.signed_area(r)).alias("area"))
 
 
