@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from ..staging import written
+from .batches import spread
 
 
 def _cells(box, cell: float):
@@ -36,10 +38,20 @@ def boxes_that_meet(left: DataFrame, right: DataFrame, a: str, b: str, cell: flo
 
 def polygons_that_meet(left: DataFrame, right: DataFrame, a: str, b: str, cell: float) -> DataFrame:
     """Pairs of rows whose rings share a point, borders included: boxes find candidates by cells, each pair once, and the
-    exact predicate drops those whose boxes alone meet."""
-    l = left.withColumn("__a", G.bounds(F.col(a)))  # noqa: E741
-    r = right.withColumn("__b", G.bounds(F.col(b)))
-    return boxes_that_meet(l, r, "__a", "__b", cell).filter(G.rings_meet(F.col(a), F.col(b))).drop("__a", "__b")
+    exact predicate drops those whose boxes alone meet.
+
+    Cells and predicate are for distinct rings; rows with the same ring then share its pairs by plain joins. These are
+    merged, as few bytes of shapes stand for many rows."""
+    rings = left.select(F.col(a).alias("__r")).union(right.select(F.col(b).alias("__r"))).filter("__r is not null").distinct()
+    shapes = written(rings.withColumn("__id", F.monotonically_increasing_id()), "shapes")
+    boxed = spread(shapes.withColumn("__box", G.bounds(F.col("__r"))), "__id", each=500)
+    one, two = (boxed.select(*(F.col(f"__{c}").alias(f"__{c}{i}") for c in ("r", "id", "box"))) for i in (1, 2))
+    # Of a pair of shapes one order is looked at; the other follows.
+    near = boxes_that_meet(one, two.hint("merge"), "__box1", "__box2", cell).filter("__id1 <= __id2").filter(G.rings_meet(F.col("__r1"), F.col("__r2")))
+    both = F.array(F.struct(F.col("__id1").alias("__a"), F.col("__id2").alias("__b")), F.struct(F.col("__id2").alias("__a"), F.col("__id1").alias("__b")))
+    pairs = written(near.select(F.explode(F.array_distinct(both)).alias("s")).select("s.*"), "shapes-that-meet")
+    of = lambda df, ring, out: df.join(shapes.select(F.col("__r").alias(ring), F.col("__id").alias(out)).hint("merge"), ring)
+    return of(left, a, "__a").join(pairs.hint("merge"), "__a").join(of(right, b, "__b").hint("merge"), "__b").drop("__a", "__b")
 
 
 def filled_pixels(polygons: DataFrame, ring: str, x0: float, y0: float, dx: float, dy: float, width: int, height: int) -> DataFrame:
