@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..operators import geometry as R
 from ..operators import spatial as P
+from ..operators.batches import spread
 from .registry import Tables, query
 
 _point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -67,7 +68,7 @@ def jn11_polygons_meet(t: Tables) -> DataFrame:
 )
 def geo11_scanline(t: Tables) -> DataFrame:
     """Pixels of half a unit that each polygon holds."""
-    runs = P.filled_pixels(triangles(t), "ring", 0.0, 420.0, 0.5, -0.5, 1000, 840)
+    runs = P.filled_pixels(spread(triangles(t), "k"), "ring", 0.0, 420.0, 0.5, -0.5, 1000, 840)
     n = (F.col("last") - F.col("first") + 1).cast("long")
     return runs.groupBy("k").agg(F.sum(n).alias("pixels"), F.sum(n * F.col("row")).alias("row_sum"), F.sum(F.expr("(first + last) * (last - first + 1) div 2")).cast("long").alias("col_sum"))
 

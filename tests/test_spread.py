@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from terrashift import catalog
+from terrashift.operators import batches, spatial
 from terrashift.operators import geometry as R
-from terrashift.operators import spatial
 
+QUERIES = catalog.queries()
 RINGS = "k long, rings array<array<struct<x:double,y:double>>>"
 
 
@@ -39,3 +41,11 @@ def test_polygons_that_meet_look_once_at_equal_rings(spark, monkeypatch):
     got = sorted((r.k1, r.k2) for r in spatial.polygons_that_meet(a, b, "r1", "r2", 5.0).select("k1", "k2").collect())
     assert got == [(i, j) for i in range(60) for j in range(60) if (i % 3 == 2) == (j % 3 == 2)]
     assert seen.value <= 9
+
+
+def test_scanline_spreads_one_file(spark, tmp_path):
+    one = spark.range(200).select(F.col("id").alias("c_custkey")).coalesce(1)
+    one.write.parquet(f"{tmp_path}/customer.parquet")
+    assert batches.spread(one, "c_custkey", each=10).rdd.getNumPartitions() == max(20, spark.sparkContext.defaultParallelism)
+    # Numbered parts are not joined again by adaptive execution.
+    assert "REPARTITION_BY_NUM" in plan(QUERIES["geo11_scanline"](spark, str(tmp_path)))
