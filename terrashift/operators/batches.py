@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..staging import written
 
 
-def spread(df: DataFrame, *keys: str, each: int = 20_000) -> DataFrame:
+def spread(df: DataFrame, *keys: str, each: int = 20_000, least: int | None = None) -> DataFrame:
     """``df`` in as many partitions as there are ``each`` rows, by ``keys`` or evenly. A small file makes one split, whatever
-    a row of it costs later on; the number is set, so adaptive execution doesn't join the parts again. Counts ``df`` first."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each)), *keys)
+    a row of it costs later on; the number is set, so adaptive execution doesn't join the parts again. Counts ``df`` first.
+    There are ``least`` parts in any case, by default one for each core."""
+    return df.repartition(max(least or df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each)), *keys)
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import written
+from .batches import spread
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -70,6 +71,7 @@ def _model(kind: str):
 def cross_validate(rows: DataFrame, feature_sets: dict[str, list[str]], label: str, fold: str, models: list[str]) -> DataFrame:
     """features, model, macro_f1: predictions of each fold by a model of the others, classes weighted alike."""
     spark, out = rows.sparkSession, []
+    rows = spread(rows, least=1)
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     share = rows.agg(F.avg(label)).first()[0]
     rows = rows.withColumn("w", F.when(F.col(label) == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9))).cache()

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import spread
 from .evaluation import class_scores
 
 MODELS = ("logistic", "kernel", "forest", "boosted")
@@ -42,8 +43,10 @@ def _model(kind: str, features: str):
 
 def cross_validate_classes(rows: DataFrame, feature_sets: dict[str, list[str]], label: str, fold: str, models: tuple[str, ...] = MODELS, gamma: float | None = None) -> DataFrame:
     """features, model, fold, macro_f1: a model of all other folds predicts each fold. Classes are 0, 1, 2 …; columns are
-    scaled by the training folds' means and deviations, and classes weigh alike in training."""
+    scaled by the training folds' means and deviations, and classes weigh alike in training.
+    Rows are spread by their number, as each step of a fit reads a part's features in one task."""
     spark, out = rows.sparkSession, []
+    rows = spread(rows, least=1)
     counts = rows.groupBy(fold, F.col(label).cast("int").alias("y")).count().collect()
     folds, classes = sorted({r[fold] for r in counts}), sorted({r["y"] for r in counts})
     for name, columns in feature_sets.items():
