@@ -122,7 +122,7 @@ def st13_onehot(t: Tables) -> DataFrame:
 def fn_products(t: Tables) -> DataFrame:
     """Percentile stretch, texture ratio, numbers safe for JSON (a NaN is null), dates from months, pixel centres."""
     x = F.col("l_extendedprice")
-    q = t.lineitem.agg(F.percentile("l_extendedprice", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
+    q = E.quantiles(t.lineitem, x, [0.02, 0.98])
     nan = F.when(F.col("l_tax") > 0, x / 7 + 1e-7).otherwise(F.lit(float("nan")))
     start = F.lit("2021-12-30 00:00:00").cast("timestamp")
     return t.lineitem.join(F.broadcast(q)).select(
