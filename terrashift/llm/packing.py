@@ -11,6 +11,7 @@ last is full, so padding is under one window for the whole corpus; no document g
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ END_ID = 1
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters alone are cut here; any other word goes to the tokenizer whole.
 PLAIN = regex.compile(r"[!-~\xa1-\xff]+")
+#: The same rule for lower-case words of visible ASCII characters.
+ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 
@@ -69,6 +72,7 @@ class WordIds(dict):
         self.merge = self.tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
         """Ids of one part, which needs no more than the merges."""
@@ -82,12 +86,21 @@ class WordIds(dict):
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        if "<|" in word or not PLAIN.fullmatch(word):
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        else:
+        ids = self.words.get(word)
+        if ids is None:
             known = self.parts
-            ids = b"".join([known.get(p) or self.part(p) for p in PRETOKEN.findall(unicodedata.normalize("NFC", word).lower())])
+            if "<|" not in word and word.isascii() and word.isprintable():
+                low = word.lower()
+                if low.isalpha():
+                    ids = known.get(low) or self.part(low)
+                else:
+                    ids = b"".join([known.get(p) or self.part(p) for p in ASCII.findall(low)])
+            elif "<|" in word or not PLAIN.fullmatch(word):
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            else:
+                ids = b"".join([known.get(p) or self.part(p) for p in PRETOKEN.findall(unicodedata.normalize("NFC", word).lower())])
         if len(self) >= self.LIMIT:
+            self.words = dict(self)
             self.clear()
         self[word] = ids
         return ids
