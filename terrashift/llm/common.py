@@ -103,6 +103,19 @@ def flat_binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(flat).view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Small batches of narrow rows as fewer of about ``rows``."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def words_of(text: str | None) -> list[str]:
     r"""Words ``[^\x20\x09-\x0D]+`` of a text. str.split would also cut at other Unicode spaces and \x1c-\x1f."""
     if not text:

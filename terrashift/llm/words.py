@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at a time, up to the next end of a word: memory doesn't follow the length of a text.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 _random = np.random.default_rng(20)
 _VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]
@@ -50,33 +50,45 @@ class Words:
         ends = ends - ends[0]
         begins = np.zeros(len(flat) + 1, bool)
         begins[ends] = True
-        hashes, starts, breaks, at, lines = [], [], [], 0, 0
+        hashes, starts, at = [], [], 0
         while at < len(flat):
             part = flat[at : at + BLOCK]
             if at + len(part) < len(flat):
                 # A block ends where a word or a text does.
-                cut = np.flatnonzero(_SPACE[part] | begins[at + 1 : at + 1 + len(part)])
-                part = part[: cut[-1] + 1] if len(cut) else flat[at : at + self._word_end(flat, begins, at)]
-            word = ~_SPACE[part]
+                cut = self._last_end(part, begins[at + 1 : at + 1 + len(part)])
+                part = part[:cut] if cut else flat[at : at + self._word_end(flat, begins, at)]
+            word = (part - np.uint8(9) >= 5) & (part != 32)
             first = word.copy()
             first[1:] &= ~word[:-1] | begins[at + 1 : at + len(part)]
             place = np.flatnonzero(first)
-            newlines = part == 10
             if len(place):
                 up, down = (_UP, _DOWN) if len(part) <= len(_UP) else (_powers(_BASE, len(part)), _powers(pow(_BASE, -1, 2**64), len(part)))
-                hashes.append(mix(np.add.reduceat(_VALUE[part] * up[: len(part)], place) * down[place]))
+                sums = np.take(_VALUE, part, mode="clip")
+                sums *= up[: len(part)]
+                np.cumsum(sums, out=sums)
+                # Bytes between words count nothing, so a word's sum is that up to the next one's start, less what came before.
+                sums = sums[np.append(place[1:], len(part)) - 1]
+                sums[1:] -= sums[:-1].copy()
+                hashes.append(mix(sums * down[place]))
                 starts.append(place + at)
-                breaks.append(lines + np.cumsum(newlines, dtype=np.int32)[place])
-            lines += int(newlines.sum())
             at += len(part)
         none = np.empty(0, np.int64)
         self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         starts = np.concatenate(starts) if starts else none
-        breaks = np.concatenate(breaks) if breaks else none
         per_text = np.diff(np.searchsorted(starts, ends))
         self.text = np.repeat(np.arange(m), per_text)
-        before = np.searchsorted(np.flatnonzero(flat == 10), ends[:-1])
-        self.line = (breaks - before[self.text]).astype(np.int32)
+        newlines = np.flatnonzero(flat == 10)
+        breaks = np.cumsum(np.bincount(np.searchsorted(starts, newlines), minlength=len(starts) + 1))[:-1]
+        self.line = (breaks - np.searchsorted(newlines, ends[:-1])[self.text]).astype(np.int32)
+
+    @staticmethod
+    def _last_end(part: np.ndarray, ends: np.ndarray) -> int:
+        """Length up to the last end of a word or a text; 0 without one. Most are near the end of the block."""
+        for near in (len(part) - 256, 0):
+            cut = np.flatnonzero(_SPACE[part[max(near, 0) :]] | ends[max(near, 0) :])
+            if len(cut):
+                return max(near, 0) + int(cut[-1]) + 1
+        return 0
 
     @staticmethod
     def _word_end(flat: np.ndarray, begins: np.ndarray, at: int) -> int:
